@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tactus.llm import bpe, decontaminate
+from tactus.llm import bpe, decontaminate, html_text, quality
 from tactus.llm.common import table
 
 
+def op1_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op2_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
@@ -20,9 +25,15 @@ def op4_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True).drop("text")
 
 
+def op9_tag_ratio_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_trees": op1_quality_trees,
     "op2_wu_manber_decontamination": op2_wu_manber_decontamination,
     "op4_trie_bpe": op4_trie_bpe,
+    "op9_tag_ratio_text": op9_tag_ratio_text,
 }
 
 SQL: dict[str, str] = {}
