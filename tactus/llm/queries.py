@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tactus.llm import bpe, decontaminate, html_text, quality
+from tactus.llm import bpe, decontaminate, html_text, quality, sharding
 from tactus.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True).drop("text")
 
 
+def op7_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.contract(table(spark, sf_dir, "documents"))
+
+
 def op9_tag_ratio_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -33,7 +37,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_trees": op1_quality_trees,
     "op2_wu_manber_decontamination": op2_wu_manber_decontamination,
     "op4_trie_bpe": op4_trie_bpe,
+    "op7_prefix_sum_shards": op7_prefix_sum_shards,
     "op9_tag_ratio_text": op9_tag_ratio_text,
 }
 
-SQL: dict[str, str] = {}
+# 0xEDB88320 is CRC-32's polynomial, reflected; its table follows from it.
+OP7_SQL = """
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+docs AS (
+  SELECT doc_id, text, 16 + coalesce(octet_length(encode(text)), 0) AS size, coalesce(md5(text), '') AS g,
+    coalesce(substr(md5(doc_id::VARCHAR), 1, 3), '') AS u FROM documents),
+sized AS (
+  SELECT *, sum(size) OVER (ORDER BY g, u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start,
+    sum(size) OVER () AS total, sum(size) OVER (PARTITION BY g) AS group_bytes,
+    row_number() OVER (ORDER BY g, u, doc_id) AS r FROM docs),
+grouped AS (SELECT *, min(start) OVER (PARTITION BY g) AS group_start FROM sized),
+placed AS (
+  SELECT *, least(39, ((CASE WHEN group_bytes * 8000 <= total THEN group_start ELSE start END) * 40) // total)::INT AS shard
+  FROM grouped),
+crc AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda c, b: xor(c // 256, t[1 + xor(c % 256, b)])), 4294967295::BIGINT) AS crc
+  FROM docs, crc_table)
+SELECT p.doc_id, p.size::BIGINT AS size, crc.crc::BIGINT AS text_crc32, 'bytes' AS law, shard,
+  (r - min(r) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard
+FROM placed p JOIN crc USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op7_prefix_sum_shards": OP7_SQL}
