@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tactus.llm import bpe, decontaminate, html_text, quality, sharding
+from tactus.llm import bpe, decontaminate, html_text, neardup, quality, sharding
 from tactus.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op7_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.contract(table(spark, sf_dir, "documents"))
 
 
+def op8_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
+
+
 def op9_tag_ratio_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_wu_manber_decontamination": op2_wu_manber_decontamination,
     "op4_trie_bpe": op4_trie_bpe,
     "op7_prefix_sum_shards": op7_prefix_sum_shards,
+    "op8_odd_sketch_near_dedup": op8_odd_sketch_near_dedup,
     "op9_tag_ratio_text": op9_tag_ratio_text,
 }
 
