@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tactus.llm import bpe, decontaminate, html_text, neardup, quality, sharding
+from tactus.llm import bpe, decontaminate, html_text, lines, neardup, quality, sharding
 from tactus.llm.common import table
 
 
@@ -37,6 +38,16 @@ def op9_tag_ratio_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.col("n_lines").cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_trees": op1_quality_trees,
     "op2_wu_manber_decontamination": op2_wu_manber_decontamination,
@@ -44,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_prefix_sum_shards": op7_prefix_sum_shards,
     "op8_odd_sketch_near_dedup": op8_odd_sketch_near_dedup,
     "op9_tag_ratio_text": op9_tag_ratio_text,
+    "op10_fuzzy_line_dedup": op10_fuzzy_line_dedup,
 }
 
 # 0xEDB88320 is CRC-32's polynomial, reflected; its table follows from it.
