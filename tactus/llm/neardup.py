@@ -5,16 +5,11 @@
    and an odd sketch: the samples thrown into ``BITS`` parity bits.
 2. Documents with equal sets form a class at once; only one of a class goes
    on, so groups of copies of any size cost one aggregation.
-3. Classes that share a band key are candidates. A bucket is not expanded into
-   its pairs: first every member is compared with the bucket's hub (the member
-   that meets most others in all its buckets). Pairs are judged by the XOR
-   population count of their sketches, a generous bound that a pair at the
-   threshold passes but for chance of about 1e-8, and the best one of each
-   member is confirmed on the full sets of shingles.
-4. Links make components. Only candidates in different components are still
-   open: the best of each pair of components is confirmed, components are
-   renewed, and then all that remain are confirmed, whatever their number. So
-   every candidate pair ends either inside one component or compared.
+3. Classes that share a band key are candidates, which ``linking.resolve``
+   joins to components without all pairs of a bucket. Pairs are judged by the
+   XOR population count of their sketches, with a generous bound that a pair at
+   the threshold passes but for chance of about 1e-8, and confirmed on the full
+   sets of shingles.
 
 A pair at similarity 0.8 misses all bands with probability (1 - 0.8**5)**32,
 about 3e-6. The tables between the steps are checkpointed in the shared folder.
@@ -37,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tactus.llm.common import as_bytes, cut, written
+from tactus.llm.linking import labelled, resolve, shared
 
 BANDS, ROWS, BITS = 32, 5, 512
 PERCENT = 80
@@ -157,21 +153,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return joined.mapInArrow(batches, "a bigint, b bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, c) for each id that links (a, b) name: the smallest id that it reaches."""
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("c")))
-    while True:
-        near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        better = labels.join(near, "id", "left").select("id", "c", F.least("c", "m").alias("d"))
-        # a label is itself an id with a label: jump to it
-        over = better.select(F.col("id").alias("d"), F.col("d").alias("e"))
-        new = cut(better.join(over, "d", "left").select("id", F.coalesce(F.least("d", "e"), "d").alias("c"), (F.coalesce(F.least("d", "e"), "d") != F.col("c")).alias("moved")))
-        labels = new.select("id", "c")
-        if new.where("moved").isEmpty():
-            return labels
-
-
 def _judged(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sketches allow the similarity, with their distance z."""
     both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("s")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("t")), "b")
@@ -179,56 +160,20 @@ def _judged(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.select("a", "b", z.alias("z")).where(F.col("z") <= distance_for(ESTIMATE_FROM))
 
 
-def _labelled(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
-    return df.join(labels.select(F.col("id").alias(column), F.col("c").alias("_c")), column, "left").withColumn(name, F.coalesce("_c", column)).drop("_c")
-
-
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
     signed = written(signatures(docs, size), "signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r"))
-    classes = written(classes.select("digest", F.col("r.doc_id").alias("id"), F.col("r.bands").alias("bands"), F.col("r.sketch").alias("sketch")), "classes")
-
-    bands = classes.select("id", F.explode("bands").alias("k"))
-    shared = bands.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = cut(bands.join(shared, "k").select("k", "id", "n"))
-    meets = buckets.groupBy("id").agg(F.sum("n").alias("d"))
-    hubs = buckets.join(meets, "id").groupBy("k").agg(F.max(F.struct("d", (-F.col("id")).alias("m"))).alias("h")).select("k", (-F.col("h.m")).alias("hub"))
-    stars = buckets.join(hubs, "k").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    sketches = classes.select("id", "sketch").join(meets.select("id"), "id", "left_semi")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(meets.select("id"), "id", "left_semi")
-    texts = written(texts, "texts")
-
-    best = cut(_judged(stars, sketches).groupBy("a").agg(F.min(F.struct("z", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
-    links = cut(confirmed(best, texts, size, percent))
-    labels = components(links)
-
-    open_pairs = None
-    for last in (False, True):
-        source = _labelled(buckets.select("k", "id"), labels, "id", "c")
-        if open_pairs is None:
-            mixed = source.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
-            some = cut(source.join(mixed, "k", "left_semi"))
-            left, right = some.select("k", F.col("id").alias("a"), F.col("c").alias("ca")), some.select("k", F.col("id").alias("b"), F.col("c").alias("cb"))
-            pairs = left.join(right, "k").where("ca < cb").select("a", "b").distinct()
-            done = best.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-            pairs = pairs.join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-            open_pairs = cut(_judged(pairs, sketches))
-        parted = _labelled(_labelled(open_pairs, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb")
-        if last:
-            chosen = cut(parted.select("a", "b"))
-        else:
-            sides = parted.withColumns({"lo": F.least("ca", "cb"), "hi": F.greatest("ca", "cb")})
-            chosen = cut(sides.groupBy("lo", "hi").agg(F.min(F.struct("z", "a", "b")).alias("m")).select("m.a", "m.b"))
-        if chosen.isEmpty():
-            break
-        links = links.unionByName(cut(confirmed(chosen, texts, size, percent)))
-        labels = components(links)
-        if not last:
-            open_pairs = cut(open_pairs.join(chosen, ["a", "b"], "left_anti"))
-
-    members = _labelled(classes.select("digest", "id"), labels, "id", "component").select("digest", "component")
+    classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("r"))
+    classes = written(classes.select("digest", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("size"), F.col("r.bands").alias("bands"), F.col("r.sketch").alias("sketch")), "classes")
+
+    buckets = shared(classes.select("id", "size", F.explode("bands").alias("k")))
+    ids = buckets.select("id").distinct()
+    sketches = classes.select("id", "sketch").join(ids, "id", "left_semi")
+    texts = written(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"), "texts")
+    labels = resolve(buckets, lambda pairs: _judged(pairs, sketches), lambda pairs: confirmed(pairs, texts, size, percent), percent)
+
+    members = labelled(classes.select("digest", "id"), labels, "id", "component").select("digest", "component")
     found = signed.select("doc_id", "n_shingles", "digest").join(members, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
