@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactus.llm import bpe, decontaminate, html_text, lines, neardup, pii, quality, sharding
+from tactus.llm import bpe, decontaminate, html_text, lines, neardup, pii, ppm, quality, sharding
 from tactus.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True).drop("text")
 
 
+def op5_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.contract(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_trees": op1_quality_trees,
     "op2_wu_manber_decontamination": op2_wu_manber_decontamination,
     "op4_trie_bpe": op4_trie_bpe,
+    "op5_ppm_score": op5_ppm_score,
     "op6_bootstrapped_pii": op6_bootstrapped_pii,
     "op7_prefix_sum_shards": op7_prefix_sum_shards,
     "op8_odd_sketch_near_dedup": op8_odd_sketch_near_dedup,
