@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactus.llm import bpe, decontaminate, html_text, lines, neardup, pii, ppm, quality, sharding
+from tactus.llm import bpe, decontaminate, html_text, lines, neardup, pii, ppm, quality, sharding, substrings
 from tactus.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_fingerprint_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
+
+
 def op4_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True).drop("text")
@@ -59,6 +63,7 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_trees": op1_quality_trees,
     "op2_wu_manber_decontamination": op2_wu_manber_decontamination,
+    "op3_fingerprint_substrings": op3_fingerprint_substrings,
     "op4_trie_bpe": op4_trie_bpe,
     "op5_ppm_score": op5_ppm_score,
     "op6_bootstrapped_pii": op6_bootstrapped_pii,
