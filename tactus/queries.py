@@ -63,10 +63,10 @@ def phrase_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "timeline_grade",
     f"""{GAPS_SQL}, agg AS (
-  SELECT song_id, count(*) AS lines, count(*) FILTER (dur < 1500) AS n_short, count(*) FILTER (gap_ms < -10) AS overlaps,
+  SELECT song_id, count(*) AS lines, count(*) FILTER (dur < 1500) AS n_short, count(*) FILTER (gap_ms < -10) AS n_overlaps,
     count(*) FILTER (gap_class = 'CONT' AND gap_ms > 500) AS wide, coalesce(sum(gap_ms) FILTER (gap_class = 'CONT'), 0) AS ms,
     count(*) FILTER (gap_class = 'CONT') AS n FROM classed GROUP BY song_id),
-scored AS (SELECT song_id, lines, greatest(0, least(100, floor(round(100 - 8 * n_short - 20 * overlaps - 3 * wide
+scored AS (SELECT song_id, lines, greatest(0, least(100, floor(round(100 - 8 * n_short - 20 * n_overlaps - 3 * wide
   - CASE WHEN n > 0 THEN greatest((ms::DOUBLE / n - 300) / 100, 0.0) ELSE 0.0 END, 6))))::INT AS score FROM agg)
 SELECT song_id, lines, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 55 THEN 'C' WHEN score >= 35 THEN 'D' ELSE 'F' END AS grade FROM scored""",
 )
@@ -345,14 +345,14 @@ def range_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAIRS_SQL = f"""WITH {LINES_SQL}, bench AS (SELECT item_id, unnest(string_split(text, chr(10))) AS text FROM benchmark),
 pairs AS (SELECT song_id, line_index, item_id, l.text AS a, b.text AS b FROM doc_lines l JOIN bench b
-  ON substr(l.text, 1, 3) = substr(b.text, 1, 3) AND length(l.text) > 2 AND length(b.text) > 2)"""
+  ON substr(l.text, 1, 6) = substr(b.text, 1, 6) AND length(l.text) > 5 AND length(b.text) > 5)"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents and of the benchmark, blocked by their first three letters."""
-    a = _lines(spark, sf_dir).where("length(text) > 2").selectExpr("song_id", "line_index", "text AS a", "substr(text, 1, 3) AS k")
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "\n", -1)).alias("b")).where("length(b) > 2")
-    return a.join(b.withColumn("k", F.expr("substr(b, 1, 3)")), "k").select("song_id", "line_index", "item_id", "a", "b")
+    """Lines of documents and of the benchmark, blocked by their first six letters."""
+    a = _lines(spark, sf_dir).where("length(text) > 5").selectExpr("song_id", "line_index", "text AS a", "substr(text, 1, 6) AS k")
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "\n", -1)).alias("b")).where("length(b) > 5")
+    return a.join(b.withColumn("k", F.expr("substr(b, 1, 6)")), "k").select("song_id", "line_index", "item_id", "a", "b")
 
 
 @query("lev_sim")  # DuckDB counts bytes
