@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns and characters of the lyric formats.
 ANNOTATION = r"[\[【（(][^】\]）)]*[\]】）)]"
@@ -22,7 +23,7 @@ CHARS_FROM, CHARS_TO = "–･’‘“”", "—・''\"\""
 SMALL_KANA = "ぁぃぅぇぉゃゅょゎァィゥェォャュョヮ"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition; Spark SQL has no such function."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tactus.operators.sequence import BEFORE, SONG, with_gaps
+from tactus.operators.sequence import before, song, with_gaps
 
 # How far an alignment method is trusted.
 METHOD_FACTOR = {
@@ -64,7 +64,7 @@ def playback_score(lines: DataFrame) -> DataFrame:
 
 def timestamp_issues(lines: DataFrame, giant_ms: int = 30000) -> DataFrame:
     """song_id with counts of lines that go back, have no or negative length, or follow a giant pause."""
-    df = lines.withColumn("reached", F.max("end_ms").over(BEFORE))
+    df = lines.withColumn("reached", F.max("end_ms").over(before()))
     return df.groupBy("song_id").agg(
         F.count(F.lit(1)).alias("lines"),
         _n(F.col("start_ms") < F.col("reached") - 100).alias("backwards"),
@@ -79,7 +79,7 @@ def confidence_report(words: DataFrame, lines: DataFrame, method: str = "whisper
     per_line = words.groupBy("song_id", "line_index").agg(
         F.count(F.lit(1)).alias("n"), _n(F.col("score") > 0).alias("timed"), _n(F.col("score") < 0.4).alias("low"), F.sum(F.round(F.col("score") * 100).cast("bigint")).alias("cents")
     )
-    gaps = lines.select("song_id", "line_index", F.greatest(F.col("start_ms") - F.coalesce(F.lag("end_ms").over(SONG), F.lit(0)), F.lit(0)).alias("gap"))
+    gaps = lines.select("song_id", "line_index", F.greatest(F.col("start_ms") - F.coalesce(F.lag("end_ms").over(song()), F.lit(0)), F.lit(0)).alias("gap"))
     joined = gaps.join(per_line, ["song_id", "line_index"], "left").na.fill(0, ["n", "timed", "low", "cents"])
     positive = F.sort_array(F.collect_list(F.when(F.col("gap") > 0, F.col("gap"))))
     per_song = joined.groupBy("song_id").agg(

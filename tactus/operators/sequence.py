@@ -11,9 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SONG = W.partitionBy("song_id").orderBy("line_index")
-BEFORE = SONG.rowsBetween(W.unboundedPreceding, -1)
-SO_FAR = SONG.rowsBetween(W.unboundedPreceding, 0)
+
+def song():
+    return W.partitionBy("song_id").orderBy("line_index")
+
+
+def before():
+    return song().rowsBetween(W.unboundedPreceding, -1)
+
+
+def so_far():
+    return song().rowsBetween(W.unboundedPreceding, 0)
 
 
 def gap_class(gap_ms: Column) -> Column:
@@ -23,25 +31,25 @@ def gap_class(gap_ms: Column) -> Column:
 
 def with_gaps(lines: DataFrame) -> DataFrame:
     """lines with gap_ms to the next line, and gap_class."""
-    gap = F.lead("start_ms").over(SONG) - F.col("end_ms")
+    gap = F.lead("start_ms").over(song()) - F.col("end_ms")
     return lines.withColumn("gap_ms", gap).withColumn("gap_class", gap_class(F.col("gap_ms")))
 
 
 def phrases(lines: DataFrame) -> DataFrame:
     """song_id, phrase, lines, start_ms, end_ms: runs of lines that SOFT and STRONG gaps end."""
     ends = with_gaps(lines).withColumn("ends", F.col("gap_class").isin("SOFT", "STRONG").cast("int"))
-    numbered = ends.withColumn("phrase", F.coalesce(F.sum("ends").over(BEFORE), F.lit(0)))
+    numbered = ends.withColumn("phrase", F.coalesce(F.sum("ends").over(before()), F.lit(0)))
     return numbered.groupBy("song_id", "phrase").agg(F.count(F.lit(1)).alias("lines"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
 
 
-def islands(df: DataFrame, starts: Column, name: str, order=SONG) -> DataFrame:
+def islands(df: DataFrame, starts: Column, name: str, order=None) -> DataFrame:
     """df with the number of the run that a row is in; starts is true where one begins."""
-    return df.withColumn(name, F.sum(starts.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return df.withColumn(name, F.sum(starts.cast("int")).over((order or song()).rowsBetween(W.unboundedPreceding, 0)))
 
 
 def collapse_adjacent(lines: DataFrame) -> DataFrame:
     """Consecutive lines of equal text become one, from the first start to the last known end."""
-    fresh = F.coalesce(F.col("text") != F.lag("text").over(SONG), F.lit(True))
+    fresh = F.coalesce(F.col("text") != F.lag("text").over(song()), F.lit(True))
     runs = islands(lines.withColumn("fresh", fresh), F.col("fresh"), "run")
     return runs.groupBy("song_id", "run").agg(
         F.min_by("text", "line_index").alias("text"),
@@ -53,7 +61,7 @@ def collapse_adjacent(lines: DataFrame) -> DataFrame:
 
 def merge_short(lines: DataFrame, least: int = 2) -> DataFrame:
     """Lines shorter than least letters are appended to the line before."""
-    begins = (F.length("text") >= least) | (F.row_number().over(SONG) == 1)
+    begins = (F.length("text") >= least) | (F.row_number().over(song()) == 1)
     runs = islands(lines.withColumn("begins", begins), F.col("begins"), "run")
     ordered = F.array_sort(F.collect_list(F.struct("line_index", "text")))
     merged = runs.groupBy("song_id", "run").agg(F.min("line_index").alias("line_index"), F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"))
@@ -62,7 +70,7 @@ def merge_short(lines: DataFrame, least: int = 2) -> DataFrame:
 
 def merge_short_segments(lines: DataFrame, least: int = 3, within_ms: int = 3000) -> DataFrame:
     """Short segments close behind the one before are appended to it and extend it."""
-    near = F.col("start_ms") - F.lag("end_ms").over(SONG) < within_ms
+    near = F.col("start_ms") - F.lag("end_ms").over(song()) < within_ms
     begins = ~((F.length("text") < least) & F.coalesce(near, F.lit(False)))
     runs = islands(lines.withColumn("begins", begins), F.col("begins"), "run")
     ordered = F.array_sort(F.collect_list(F.struct("line_index", "text", "end_ms")))
@@ -93,12 +101,12 @@ def match_scores(lines: DataFrame) -> DataFrame:
     An anchor has similarity 0.62 and starts after all anchors before it.
     """
     sim = F.col("similarity")
-    before, after = F.coalesce(F.lag("start_ms").over(SONG), F.lit(0)), F.lead("start_ms").over(SONG)
-    fits = (F.col("start_ms") >= before - 100) & (after.isNull() | (F.col("start_ms") <= after + 1000))
-    neighbour = (F.coalesce(F.lag("similarity").over(SONG), sim) + sim + F.coalesce(F.lead("similarity").over(SONG), sim)) / 3
+    earlier_start, after = F.coalesce(F.lag("start_ms").over(song()), F.lit(0)), F.lead("start_ms").over(song())
+    fits = (F.col("start_ms") >= earlier_start - 100) & (after.isNull() | (F.col("start_ms") <= after + 1000))
+    neighbour = (F.coalesce(F.lag("similarity").over(song()), sim) + sim + F.coalesce(F.lead("similarity").over(song()), sim)) / 3
     good = F.when(sim >= 0.62, F.col("start_ms"))
     scored = lines.withColumns({"temporal": F.when(fits, F.lit(1.0)).otherwise(F.lit(0.3)), "neighbour": neighbour, "_good": good})
-    earlier = F.max("_good").over(BEFORE)
+    earlier = F.max("_good").over(before())
     anchor = F.col("_good").isNotNull() & (earlier.isNull() | (F.col("_good") > earlier))
     confidence = F.least(F.lit(1.0), 0.5 * sim + 0.25 * F.col("temporal") + 0.2 * F.col("neighbour") + F.when(F.col("anchor"), F.lit(0.005)).otherwise(F.lit(0.0)))
     return scored.withColumn("anchor", anchor).withColumn("confidence", confidence).drop("_good")
@@ -107,8 +115,8 @@ def match_scores(lines: DataFrame) -> DataFrame:
 def anchor_distance(lines: DataFrame) -> DataFrame:
     """lines (with anchor) with the distance to the nearest anchor, -1 without any."""
     at = F.when(F.col("anchor"), F.col("line_index"))
-    last = F.last(at, ignorenulls=True).over(SO_FAR)
-    following = F.first(at, ignorenulls=True).over(SONG.rowsBetween(0, W.unboundedFollowing))
+    last = F.last(at, ignorenulls=True).over(so_far())
+    following = F.first(at, ignorenulls=True).over(song().rowsBetween(0, W.unboundedFollowing))
     near = F.least(F.col("line_index") - last, following - F.col("line_index"))
     return lines.withColumn("anchor_distance", F.coalesce(near, F.lit(-1)))
 
@@ -120,14 +128,14 @@ def repeats(lines: DataFrame) -> DataFrame:
 
 def bridge_gaps(lines: DataFrame, least_ms: int = 50, most_ms: int = 1500) -> DataFrame:
     """A line that follows a short pause starts where the line before ends."""
-    gap = F.col("start_ms") - F.lag("end_ms").over(SONG)
-    bridged = F.when((gap > least_ms) & (gap < most_ms), F.lag("end_ms").over(SONG)).otherwise(F.col("start_ms"))
+    gap = F.col("start_ms") - F.lag("end_ms").over(song())
+    bridged = F.when((gap > least_ms) & (gap < most_ms), F.lag("end_ms").over(song())).otherwise(F.col("start_ms"))
     return lines.withColumn("start_ms", bridged)
 
 
 def subdivide_shared(lines: DataFrame) -> DataFrame:
     """Consecutive lines with one and the same span share it in equal parts."""
-    same = (F.col("start_ms") == F.lag("start_ms").over(SONG)) & (F.col("end_ms") == F.lag("end_ms").over(SONG)) & (F.col("start_ms") > 0)
+    same = (F.col("start_ms") == F.lag("start_ms").over(song())) & (F.col("end_ms") == F.lag("end_ms").over(song())) & (F.col("start_ms") > 0)
     runs = islands(lines.withColumn("own", ~F.coalesce(same, F.lit(False))), F.col("own"), "run")
     run = W.partitionBy("song_id", "run")
     placed = runs.withColumns({"k": F.row_number().over(run.orderBy("line_index")) - 1, "of": F.count(F.lit(1)).over(run), "dur": F.col("end_ms") - F.col("start_ms")})
@@ -137,7 +145,7 @@ def subdivide_shared(lines: DataFrame) -> DataFrame:
 
 def extend_to_next(lines: DataFrame, near_ms: int = 1200, keep_ms: int = 50) -> DataFrame:
     """A line ends keep_ms before a near next line, or after at most near_ms more."""
-    following = F.lead("start_ms").over(SONG)
+    following = F.lead("start_ms").over(song())
     near = following - F.col("end_ms") <= near_ms
     return lines.withColumn("end_ms", F.when(following.isNull(), F.col("end_ms")).when(near, following - keep_ms).otherwise(F.col("end_ms") + near_ms))
 
