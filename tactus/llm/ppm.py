@@ -221,11 +221,13 @@ def train(partial: DataFrame) -> Ppm:
     whole = [F.struct(F.lit(o).alias("o"), F.col("k").bitwiseAND(F.lit((1 << (8 * (o + 1))) - 1)).alias("key")) for o in range(ORDER + 1)]
     contexts = [F.struct(F.lit(-1 - o).alias("o"), F.shiftright("k", 8).bitwiseAND(F.lit((1 << (8 * o)) - 1)).alias("key")) for o in range(ORDER + 1)]
     every = longest.select(F.explode(F.array(*whole, *contexts)).alias("g"), "n").groupBy("g.o", "g.key").agg(F.sum("n").alias("n"))
-    got = every.where(F.col("n") * (1 << GRAM_BITS) >= total).toPandas().sort_values(["o", "key"])
+    got = every.where(F.col("n") * (1 << GRAM_BITS) >= total).select(F.col("o").cast("int").alias("o"), "key", "n").toArrow()
+    orders, keys, counts = (got.column(c).to_numpy() for c in ("o", "key", "n"))
 
     def of(o: int) -> tuple[np.ndarray, np.ndarray]:
-        part = got[got["o"] == o]
-        return part["key"].to_numpy(np.int64), part["n"].to_numpy(np.float64)
+        own = np.flatnonzero(orders == o)
+        own = own[np.argsort(keys[own])]
+        return keys[own], counts[own].astype(np.float64)
 
     return Ppm([(*of(o), *of(-1 - o)) for o in range(ORDER + 1)])
 
@@ -240,8 +242,9 @@ def score(docs: DataFrame) -> DataFrame:
     n, v = sums.n, sums.v
     frequent = F.col("c") * (1 << WORD_BITS) >= n
     # at most 2**WORD_BITS words
-    known = counts.where(frequent).toPandas()
-    words = spark.sparkContext.broadcast({bytes(w): c for w, c in zip(known["w"], known["c"], strict=True)})
+    known = counts.where(frequent).select("w", "c").toArrow()
+    words = spark.sparkContext.broadcast(dict(zip(known.column("w").to_pylist(), known.column("c").to_pylist(), strict=True)))
+    del known
     divisor = math.log10(n + 0.5 * (v + 1))
 
     def batches(it):
