@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from tactus.adapters import LINES_SQL, TIMELINE_SQL, WORDS_SQL, doc_lines, doc_timeline, doc_words, table
 from tactus.functions import similarity as sim
 from tactus.functions import text as tx
-from tactus.operators import folds, joins, quality, sequence
+from tactus.operators import align, folds, joins, quality, sequence
+from tactus.plans import selection
+from tactus.sources import captions, cards
+from tactus.streaming import sync
 
 #: Milliseconds of the events' zoneless time.
 MILLIS = "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
@@ -441,3 +444,90 @@ SELECT song_id, count(*) AS n, round(regr_slope(lag_ms, t_ms), 6) AS slope FROM
 def onset_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "events").selectExpr("user_id AS song_id", f"{MILLIS} % 60000 AS t_ms", "event_id % 977 AS lag_ms")
     return quality.onset_regression(points)
+
+
+@query(
+    "normalize_lines",
+    f"""WITH {LINES_SQL}, a AS (SELECT song_id, line_index, translate(text, '–･’‘“”', '—・''''""') AS t FROM doc_lines),
+b AS (SELECT song_id, line_index, regexp_replace(regexp_replace(regexp_replace(t, '[\\[(（][0-9]{{1,2}}:[0-9]{{2}}(?:\\.[0-9]+)?[\\])）]', '', 'g'),
+  '[\\[【（(][^】\\]）)]*[\\]】）)]', '', 'g'), '^[ \\t\\r　]+|[ \\t\\r　]+$', '', 'g') AS t FROM a)
+SELECT song_id, line_index, regexp_replace(trim(t), '[ \\t　]{{2,}}', ' ', 'g') AS text FROM b""",
+)
+def normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("song_id", "line_index", tx.normalize_line(F.col("text")).alias("text"))
+
+
+@query(
+    "card_rows",
+    """SELECT item_id, concat_ws(chr(9), 'Basic', 'deck', 'Item ' || item_id, replace(replace(text, chr(9), '    '), chr(10), '<br>'), 'a_b c') AS value FROM benchmark""",
+)
+def card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards_in = table(spark, sf_dir, "benchmark").selectExpr("item_id", "'Basic' AS note_type", "'deck' AS deck", "concat('Item ', item_id) AS front", "text AS back", "array('a b', 'c') AS tags")
+    return cards.tsv_rows(cards_in, "item_id")
+
+
+_METHODS = list(selection.TRUST)
+_SELECTOR_SQL = ", ".join(f"({k}, '{m}', {selection.LEAST_SIMILARITY[m]}::DOUBLE, {selection.LEAST_CONFIDENCE[m]}::DOUBLE)" for k, m in enumerate(_METHODS))
+
+
+@query(
+    "selector",
+    f"""WITH m(k, method, ls, lc) AS (VALUES {_SELECTOR_SQL}), c AS (
+  SELECT doc_id AS song_id, method, ls, lc, n_chars % 11 AS al, n_chars % 13 AS dl, (n_chars % 100) / 100.0::DOUBLE AS similarity, (n_chars * 7 % 100) / 100.0::DOUBLE AS confidence,
+    n_chars * 13 % 20000 AS drift, CASE WHEN n_chars % 7 = 0 THEN 3 ELSE 0 END AS zero, n_chars % 6 AS bw, n_chars % 2 = 0 AS clean,
+    (n_chars * 3 % 100) / 100.0::DOUBLE AS a, (n_chars * 11 % 100) / 100.0::DOUBLE AS d FROM documents JOIN m ON m.k = doc_id % 10),
+r AS (SELECT song_id, CASE WHEN al = 0 AND dl > 0 THEN 'only_dtw' WHEN dl = 0 THEN 'no_dtw' WHEN similarity < ls THEN 'low_similarity' WHEN confidence < lc THEN 'low_confidence'
+  WHEN drift > 10000 AND similarity < 0.5 THEN 'drift' WHEN zero > 0.1 * dl THEN 'zero_times' WHEN bw > 0 AND bw <= 3 AND d - a > 0.05::DOUBLE AND clean THEN 'repaired'
+  WHEN bw > 0 THEN 'backwards' WHEN d > a THEN 'dtw_score' ELSE 'acoustic_score' END AS rung FROM c)
+SELECT song_id, rung, CASE WHEN rung IN ('only_dtw', 'repaired', 'dtw_score') THEN 'dtw' ELSE 'acoustic' END AS source FROM r""",
+)
+def selector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    method = F.element_at(F.array(*[F.lit(m) for m in _METHODS]), (F.col("doc_id") % 10 + 1).cast("int"))
+    candidates = table(spark, sf_dir, "documents").withColumn("method", method).selectExpr(
+        "doc_id AS song_id", "method", "n_chars % 11 AS acoustic_lines", "n_chars % 13 AS dtw_lines", "double(n_chars % 100 / 100.0) AS similarity", "double(n_chars * 7 % 100 / 100.0) AS confidence",
+        "n_chars * 13 % 20000 AS drift_ms", "if(n_chars % 7 = 0, 3, 0) AS zero", "n_chars % 6 AS backwards", "n_chars % 2 = 0 AS clean_after_repair",
+        "double(n_chars * 3 % 100 / 100.0) AS acoustic", "double(n_chars * 11 % 100 / 100.0) AS dtw",
+    )
+    return selection.choose(candidates).select("song_id", "rung", "source")
+
+
+@query(
+    "stage_plan",
+    """WITH s(position, stage) AS (VALUES (0, 'download'), (1, 'transcribe'), (2, 'align'), (3, 'postprocess')),
+p AS (SELECT DISTINCT user_id AS song_id FROM events), done AS (SELECT DISTINCT user_id AS song_id, event_type FROM events WHERE event_id % 97 < 2),
+state AS (SELECT p.song_id, s.position, s.stage, EXISTS (SELECT 1 FROM done d WHERE d.song_id = p.song_id AND d.event_type = CASE s.position WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'purchase' ELSE 'error' END) AS ok FROM p, s),
+f AS (SELECT song_id, min(position) AS first FROM state WHERE NOT ok GROUP BY song_id)
+SELECT state.song_id, stage, position::INT AS position FROM state JOIN f USING (song_id) WHERE position >= first""",
+)
+def stage_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = "CASE event_type WHEN 'click' THEN 'download' WHEN 'view' THEN 'transcribe' WHEN 'purchase' THEN 'align' WHEN 'error' THEN 'postprocess' END"
+    manifest = table(spark, sf_dir, "events").selectExpr("user_id AS song_id", f"{stage} AS stage", "if(event_id % 97 < 2, '25', '24') AS version", "ts AS completed_at").distinct()
+    manifest = manifest.groupBy("song_id", "stage").agg(F.max("version").alias("version"), F.max("completed_at").alias("completed_at"))
+    return selection.stages_to_run(manifest, ["download", "transcribe", "align", "postprocess"], "25")
+
+
+@query("match_pipeline")
+def match_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as official lines against the user's and assistant's turns as a transcript."""
+    turns = table(spark, sf_dir, "conversations").selectExpr("conv_id AS song_id", "int(turn) AS line_index", "text", "role")
+    official = turns.select("song_id", "line_index", tx.match_form(F.col("text")).alias("form"))
+    transcript = turns.where("role <> 'system'").select("song_id", F.col("line_index").alias("seg_index"), tx.match_form(F.col("text")).alias("form"), F.expr("bigint(line_index * 4000) AS start_ms"), F.expr("bigint(line_index * 4000 + 3500) AS end_ms"))
+    return sequence.match_scores(align.match(official, transcript)).drop("neighbour")
+
+
+@query("vtt_parse")
+def vtt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a WebVTT file, one cue a second and turn, and back to lines."""
+    cue = "concat(turn, '\\n00:', lpad(turn div 60, 2, '0'), ':', lpad(turn % 60, 2, '0'), '.000 --> 00:', lpad((turn + 1) div 60, 2, '0'), ':', lpad((turn + 1) % 60, 2, '0'), '.000\\n', replace(text, '\\n', ' '))"
+    cues = table(spark, sf_dir, "conversations").selectExpr("conv_id AS song_id", "turn", f"{cue} AS cue")
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "cue")))
+    files = cues.groupBy("song_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(ordered, lambda x: x["cue"]), "\n\n")).alias("text"))
+    return captions.webvtt(files)
+
+
+@query("sync_sessions")
+def sync_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Players' events as sessions: clicks seek, purchases anchor by hand, the rest tick."""
+    kind = "CASE event_type WHEN 'click' THEN 'seek' WHEN 'purchase' THEN 'manual_anchor' ELSE 'tick' END"
+    events = table(spark, sf_dir, "events").selectExpr("user_id AS session_id", f"{MILLIS} AS now_ms", f"{kind} AS kind", "double(event_id % 81 - 40) / 10 AS drift", "double(event_id % 100) / 100 AS confidence")
+    return sync.batch(events)

@@ -11,11 +11,11 @@ from tactus.functions.text import escape_tsv, strip_html
 DIRECTIVES = ["#separator:tab", "#html:true", "#notetype column:1", "#deck column:2", "#tags column:5"]
 
 
-def tsv_rows(cards: DataFrame) -> DataFrame:
-    """One value per card (note_type, deck, front, back, tags)."""
+def tsv_rows(cards: DataFrame, *keep: str) -> DataFrame:
+    """One value per card (note_type, deck, front, back, tags), with the columns to keep."""
     tags = F.array_join(F.transform("tags", lambda t: F.regexp_replace(F.trim(t), r"\s+", "_")), " ")
     cells = [escape_tsv(F.coalesce(F.col(c), F.lit(""))) for c in ("note_type", "deck", "front", "back")]
-    return cards.select(F.concat_ws("\t", *cells, tags).alias("value"))
+    return cards.select(*keep, F.concat_ws("\t", *cells, tags).alias("value"))
 
 
 def checksum(field: Column) -> Column:
