@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not configured:
-        if not context.master.startswith("local["):
+        if context.master.startswith("local-cluster") or not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tactus-")
         context.setCheckpointDir(configured)
