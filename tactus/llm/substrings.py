@@ -18,10 +18,12 @@ A new batch is merge-joined with all runs:
 * a fingerprint with several digests may hide equal windows in unequal
   stretches. One document for each digest is enough to verify that: its text
   is read again and all its windows under such fingerprints are hashed in full
-  (128 bits over the words), and equal windows are those with equal hashes.
+  (64 bits over the words, beside the fingerprint's 64), and equal windows are
+  those with equal hashes.
 
-Then runs are compacted: once there are ``FAN_IN``, they are merged into one,
-keeping the smallest id of each stretch.
+Runs are compacted: once there are ``FAN_IN``, they are merged into one, keeping
+the smallest id of each stretch, and the old ones are deleted. Only fingerprints
+that the new batch has are verified again.
 
 Groups of copies of any size cost one row of a run; nothing is enumerated in
 pairs. Defined cases: a null or empty text and a text of fewer than WINDOW
@@ -41,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactus.llm.common import as_bytes, cut, shared_dir, written
+from tactus.llm.common import as_bytes, discard, shared_dir, written
 from tactus.llm.neardup import Hashes
 
 WINDOW, GRAM = 50, 20
@@ -122,13 +124,12 @@ class FingerprintIndex:
         self.folder = f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
         self.runs: list[str] = []
 
-    def entries(self) -> DataFrame | None:
-        """All runs, as they are: a stretch may stand in several."""
-        frames = [self.spark.table(r) for r in self.runs]
-        out = frames[0] if frames else None
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
+    def entries(self) -> DataFrame:
+        """One row for each stretch, from all runs."""
+        out = self.spark.table(self.runs[0])
+        for name in self.runs[1:]:
+            out = out.unionByName(self.spark.table(name))
+        return self.reduced(out) if len(self.runs) > 1 else out
 
     @staticmethod
     def reduced(entries: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ class FingerprintIndex:
         """Writes the batch as a new run, then compacts if there are too many."""
         rows = stretched.select("fp", "dg", F.col("doc_id").alias("doc"), "v", "s", "n")
         self._write(self.reduced(rows))
-        if len(self.runs) > self.fan_in:
+        if len(self.runs) >= self.fan_in:
             self.compact()
 
     def compact(self) -> None:
@@ -150,6 +151,7 @@ class FingerprintIndex:
         self._write(self.reduced(merged))
         for name in old:
             self.spark.sql(f"DROP TABLE {name}")
+            discard(self.spark, f"{self.folder}/{name}")
 
     def _write(self, run: DataFrame) -> None:
         name = f"run_{uuid.uuid4().hex}"
@@ -159,48 +161,53 @@ class FingerprintIndex:
 
 
 def _window_hashes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """Full hashes (a, b) of the windows of stretches (fp, dg, doc, v, s, n), with their offset in the stretch."""
+    """Full hashes (a) of the windows of stretches (fp, dg, doc, v, s, n), with their offset in the stretch."""
     spans = wanted.groupBy("doc", "v").agg(F.collect_list(F.struct("s", "n", "fp", "dg")).alias("spans"))
     joined = spans.join(texts, ["doc", "v"]).select("doc", "spans", "text")
-    names = ["doc", "fp", "dg", "off", "a", "b"]
+    names = ["doc", "fp", "dg", "off", "a"]
 
     def batches(it):
         for batch in it:
             where: list[int] = []
-            rows: list[list[int]] = [[], [], [], [], []]
+            rows: list[list[int]] = [[], [], [], []]
             for i, (spans, text) in enumerate(zip(batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True)):
                 words = text.split()
                 for span in spans:
                     for off in range(span["n"]):
                         s = span["s"] + off
-                        d = _digest(words[s : s + WINDOW])
                         where.append(i)
-                        values = span["fp"], span["dg"], off, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+                        values = span["fp"], span["dg"], off, int.from_bytes(_digest(words[s : s + WINDOW])[:8], "little", signed=True)
                         for column, value in zip(rows, values, strict=True):
                             column.append(value)
             columns = [pa.array(r, pa.int32() if k == 2 else pa.int64()) for k, r in enumerate(rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where, pa.int64())), *columns], names)
 
-    return joined.mapInArrow(batches, "doc bigint, fp bigint, dg bigint, off int, a bigint, b bigint")
+    return joined.mapInArrow(batches, "doc bigint, fp bigint, dg bigint, off int, a bigint")
 
 
-def _covered(stretched: DataFrame, index: FingerprintIndex, texts: DataFrame) -> DataFrame:
+def _covered(stretched: DataFrame, index: FingerprintIndex, texts: DataFrame, low: int | None) -> DataFrame:
     """doc_id, v and x (s, n): windows of the batch that a smaller id has, as stretches.
 
-    The index holds the batch already; texts: doc, v, text of all documents so far.
+    The index holds the batch already; texts: doc, v, text of all documents so
+    far; low: the largest id before the batch.
     """
-    known = cut(FingerprintIndex.reduced(index.entries()))
-    several = known.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fp")
+    known = index.entries()
+    counts = known.groupBy("fp").agg(F.count(F.lit(1)).alias("c"), F.max("doc").alias("newest")).where("c > 1")
+    several = (counts if low is None else counts.where(F.col("newest") > low)).select("fp")
     # one document for each digest under fingerprints with several digests
     hashed = written(_window_hashes(known.join(several, "fp"), texts), "windows")
-    least = hashed.groupBy("a", "b").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    partly = hashed.join(least, ["a", "b"]).where("doc > least").groupBy("fp", "dg").agg(F.collect_set("off").alias("offs"))
+    least = hashed.groupBy("fp", "a").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    partly = hashed.join(least, ["fp", "a"]).where("doc > least").groupBy("fp", "dg").agg(F.collect_set("off").alias("offs"))
     fates = known.select("fp", "dg", F.col("doc").alias("first")).join(partly, ["fp", "dg"], "left")
     # later copies of a stretch are covered as a whole; in its first document, the windows verified to stand in an earlier one
     whole = F.array(F.struct("s", "n"))
     some = F.transform("offs", lambda o: F.struct((F.col("s") + o).alias("s"), F.lit(1).alias("n")))
     spans = F.when(F.col("doc_id") > F.col("first"), whole).when((F.col("doc_id") == F.col("first")) & F.col("offs").isNotNull(), some)
-    return stretched.join(fates, ["fp", "dg"]).select("doc_id", "v", spans.alias("spans")).where("spans is not null").select("doc_id", "v", F.explode("spans").alias("x"))
+    found = stretched.join(fates, ["fp", "dg"]).select("doc_id", "v", spans.alias("spans")).where("spans is not null").select("doc_id", "v", F.explode("spans").alias("x"))
+    out = written(found, "covered")
+    for used in (hashed, stretched):
+        discard(out.sparkSession, used.stored_at)
+    return out
 
 
 def intervals(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -218,7 +225,7 @@ def intervals(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         stretched = written(_stretched(batch), "stretches")
         index.add(stretched)
         texts = so_far.select(F.col("doc_id").alias("doc"), "v", "text")
-        covered = _covered(stretched, index, texts)
+        covered = _covered(stretched, index, texts, low)
         found = covered if found is None else found.unionByName(covered)
     return found.groupBy("doc_id", "v").agg(F.collect_set("x").alias("spans"))
 
