@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tactus.adapters import LINES_SQL, TIMELINE_SQL, WORDS_SQL, doc_lines, doc_timeline, doc_words, table
 from tactus.functions import similarity as sim
 from tactus.functions import text as tx
-from tactus.operators import align, folds, joins, quality, sequence
+from tactus.operators import align, folds, joins, quality, relations, sequence
 from tactus.plans import selection
 from tactus.sources import captions, cards
 from tactus.streaming import sync
@@ -531,3 +531,103 @@ def sync_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = "CASE event_type WHEN 'click' THEN 'seek' WHEN 'purchase' THEN 'manual_anchor' ELSE 'tick' END"
     events = table(spark, sf_dir, "events").selectExpr("user_id AS session_id", f"{MILLIS} AS now_ms", f"{kind} AS kind", "double(event_id % 81 - 40) / 10 AS drift", "double(event_id % 100) / 100 AS confidence")
     return sync.batch(events)
+
+
+@query(
+    "song_upsert",
+    """WITH c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' END AS lang, source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT item_id + 1000000, 'xx', NULL FROM benchmark)
+SELECT coalesce(d.doc_id, c.doc_id) AS doc_id, coalesce(c.lang, d.lang) AS lang, coalesce(c.source, d.source) AS source FROM documents d FULL JOIN c ON d.doc_id = c.doc_id""",
+)
+def song_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    changed = docs.where("doc_id % 2 = 0").selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 THEN 'new' END AS lang", "source")
+    added = table(spark, sf_dir, "benchmark").selectExpr("item_id + 1000000 AS doc_id", "'xx' AS lang", "string(null) AS source")
+    return relations.upsert(docs, changed.unionByName(added), "doc_id", ["lang", "source"])
+
+
+@query(
+    "drift_stats",
+    f"""WITH {TIMELINE_SQL}, z AS (SELECT song_id, abs((line_index % 4) * 4000 - song_id % 9000) AS d FROM doc_timeline)
+SELECT song_id, max(d) AS most, round(avg(d), 3) AS mean, count(*) FILTER (d > 10000) AS large FROM z GROUP BY song_id""",
+)
+def drift_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _timeline(spark, sf_dir)
+    moved = lines.withColumn("start_ms", F.expr("start_ms - line_index % 4 * 4000 + song_id % 9000"))
+    return relations.drift_stats(relations.positional_zip(lines, moved))
+
+
+@query(
+    "unclaimed_words",
+    f"""WITH {WORDS_SQL} SELECT w.song_id, line_index, word_index FROM doc_words w
+WHERE NOT EXISTS (SELECT 1 FROM doc_words c WHERE c.line_index % 3 = 0 AND c.song_id = w.song_id AND c.start_ms = w.start_ms)""",
+)
+def unclaimed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = doc_words(table(spark, sf_dir, "documents"))
+    return relations.unclaimed(words, words.where("line_index % 3 = 0")).select("song_id", "line_index", "word_index")
+
+
+@query(
+    "words_in_gaps",
+    f"""WITH {TIMELINE_SQL}, w AS (SELECT song_id, start_ms + 2600 AS t FROM doc_timeline), g AS (
+  SELECT song_id, line_index, end_ms AS low, lead(start_ms) OVER (PARTITION BY song_id ORDER BY line_index) AS high FROM doc_timeline)
+SELECT g.song_id, line_index, count(*) AS words FROM g JOIN w ON w.song_id = g.song_id AND t > low + 50 AND t < high - 50 WHERE high - low >= 1500 GROUP BY g.song_id, line_index""",
+)
+def words_in_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _timeline(spark, sf_dir)
+    return relations.words_in_gaps(lines, lines.withColumn("start_ms", F.col("start_ms") + 2600), least_ms=1500)
+
+
+@query(
+    "timeline_summary",
+    f"""{GAPS_SQL}, a AS (SELECT song_id, count(*) FILTER (gap_class = 'CONT') AS cont, count(*) FILTER (gap_class = 'SOFT') AS soft, count(*) FILTER (gap_class = 'STRONG') AS strong,
+  max(gap_ms) AS longest_gap, list_sort(list(end_ms - start_ms)) AS d FROM classed GROUP BY song_id)
+SELECT song_id, soft + strong + 1 AS phrases, cont, soft, strong, longest_gap, d[len(d) // 2 + 1] AS median_ms FROM a""",
+)
+def timeline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.timeline_summary(_timeline(spark, sf_dir))
+
+
+@query(
+    "boundary_audit",
+    f"""WITH {TIMELINE_SQL}, r AS (SELECT *, end_ms - start_ms AS dur, coalesce(start_ms < max(end_ms) OVER (PARTITION BY song_id ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS back FROM doc_timeline)
+SELECT song_id, count(*) FILTER (dur < 500) AS n_short, count(*) FILTER (dur > 12000) AS n_long, count(*) FILTER (back) AS n_back,
+  min(line_index) FILTER (dur < 500 OR dur > 12000 OR back) AS first FROM r GROUP BY song_id""",
+)
+def boundary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.boundary_audit(_timeline(spark, sf_dir))
+
+
+@query(
+    "drift_curve",
+    f"""{SEGMENTS_SQL}, o AS (SELECT l.song_id, seg_index, min(l.start_ms - s.start_ms) AS offset_ms FROM doc_timeline l JOIN segments s
+  ON l.song_id = s.song_id AND l.start_ms BETWEEN s.start_ms AND s.end_ms GROUP BY l.song_id, seg_index)
+SELECT *, (sum(offset_ms) OVER (PARTITION BY song_id ORDER BY seg_index))::BIGINT AS total_ms FROM o""",
+)
+def drift_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _timeline(spark, sf_dir)
+    return relations.drift_curve(lines, _segments(lines))
+
+
+@query(
+    "recent_logs",
+    "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 5",
+)
+def recent_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five latest log rows of each job: a top-k report."""
+    return relations.recent(table(spark, sf_dir, "events"), "user_id", "event_id", 5).select("user_id", "event_id", "event_type")
+
+
+@query(
+    "even_split",
+    f"WITH {TIMELINE_SQL} SELECT song_id, line_index, k::INT AS part, start_ms + k * (end_ms - start_ms) // 4 AS start_ms, start_ms + (k + 1) * (end_ms - start_ms) // 4 AS end_ms FROM doc_timeline, range(4) r(k)",
+)
+def even_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.even_split(_timeline(spark, sf_dir), 4)
+
+
+@query(
+    "status_changes",
+    "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type",
+)
+def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.changes_only(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
