@@ -4,14 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that pin a level)
 from pyspark.sql import DataFrame, SparkSession
 
-DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,13 +55,3 @@ def discard(spark: SparkSession, path: str) -> None:
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding them."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
-
-
-def mapped(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow for a function of one batch."""
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            yield from function(batch)
-
-    return df.mapInArrow(batches, schema)

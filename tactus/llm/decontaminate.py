@@ -24,7 +24,6 @@ are untouched, and a document column named like a result column is replaced.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -114,18 +113,6 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[li
     return blocks
 
 
-_built: dict[tuple[int, int], WuManber] = {}
-
-
-def _matcher(held, window: int) -> WuManber:
-    """The matcher of a broadcast block, built once in a worker."""
-    key = (held.id if hasattr(held, "id") else id(held), window)
-    if key not in _built:
-        _built.clear()
-        _built[key] = WuManber(held.value, window)
-    return _built[key]
-
-
 def _pass(df: DataFrame, held, window: int) -> DataFrame:
     """Appends the occurrences of one block's patterns to the column ``_hits``."""
     names, schema = df.columns, df.schema
@@ -214,7 +201,3 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

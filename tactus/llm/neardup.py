@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import as_bytes, cut, written
+from tactus.llm.common import as_bytes, written
 from tactus.llm.linking import labelled, resolve, shared
 
 BANDS, ROWS, BITS = 32, 5, 512
