@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import as_bytes, written
+from tactus.llm.common import as_bytes, discard, written
 from tactus.llm.linking import labelled, resolve, shared
 
 BANDS, ROWS, BITS = 32, 5, 512
@@ -172,6 +172,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     sketches = classes.select("id", "sketch").join(ids, "id", "left_semi")
     texts = written(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"), "texts")
     labels = resolve(buckets, lambda pairs: _judged(pairs, sketches), lambda pairs: confirmed(pairs, texts, size, percent), percent)
+    discard(docs.sparkSession, texts.stored_at)  # the labels are stored
 
     members = labelled(classes.select("digest", "id"), labels, "id", "component").select("digest", "component")
     found = signed.select("doc_id", "n_shingles", "digest").join(members, "digest", "left")
