@@ -372,6 +372,21 @@ def test_lines_link_as_defined(spark, texts):
     assert got == want
 
 
+def test_lines_link_when_a_word_changes(spark):
+    """Ordinary lines with one word of ten or twenty changed: edit similarity 0.8 or more is enough."""
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefghijklmnoprstuvw") for _ in range(draw.randint(3, 7)))
+    some = []
+    for k in range(60):
+        words = [word() for _ in range(10 if k % 2 else 20)]
+        other = list(words)
+        at = draw.randrange(len(words))
+        other[at] = word()[: len(words[at])].ljust(len(words[at]), "x")
+        some += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = {r.doc_id: tuple(r.removed or ()) for r in rows(lines.dedup(spark.createDataFrame(some, DOCS)))}
+    assert got == {k: (0,) if k % 2 else () for k in range(120)}
+
+
 def test_html(spark):
     page = (
         '<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav>'
