@@ -150,6 +150,32 @@ def extend_to_next(lines: DataFrame, near_ms: int = 1200, keep_ms: int = 50) ->
     return lines.withColumn("end_ms", F.when(following.isNull(), F.col("end_ms")).when(near, following - keep_ms).otherwise(F.col("end_ms") + near_ms))
 
 
+def numbered_bigrams(lines: DataFrame) -> DataFrame:
+    """song_id, line_index and grams: the letter pairs of the text, the second and later of a kind numbered.
+
+    So multisets of pairs meet as sets. A single letter is its own gram; an empty or null text has none.
+    """
+    n = F.coalesce(F.length("text"), F.lit(0))
+    at = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    each = lines.select("song_id", "line_index", "text", F.explode_outer(at).alias("p"))
+    each = each.select("song_id", "line_index", F.substring("text", F.col("p"), F.lit(2)).alias("g"))
+    counts = each.groupBy("song_id", "line_index", "g").agg(F.count("g").cast("int").alias("n"))
+    copies = F.when(F.col("g").isNull(), F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda k: F.concat(F.col("g"), F.lit("#"), k.cast("string"))))
+    return counts.groupBy("song_id", "line_index").agg(F.flatten(F.collect_list(copies)).alias("grams"))
+
+
+def grams_dice(a: Column, b: Column) -> Column:
+    """bigram_sim of two texts from their numbered bigrams."""
+    return F.coalesce(2.0 * F.size(F.array_intersect(a, b)) / F.nullif(F.size(a) + F.size(b), F.lit(0)), F.lit(0.0))
+
+
+def song_pairs(lines: DataFrame, *columns: str) -> DataFrame:
+    """song_id, i, j and the columns of both lines (a_, b_) of all pairs i < j of a song's lines."""
+    a = lines.select("song_id", F.col("line_index").alias("i"), *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = lines.select("song_id", F.col("line_index").alias("j"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    return a.join(b, "song_id").where("i < j")
+
+
 def repeated_diagonals(lines: DataFrame, similar, least: int = 2) -> DataFrame:
     """song_id, offset, first, size: runs of least or more lines that are like those offset lines on."""
     a = lines.select("song_id", F.col("line_index").alias("i"), F.col("text").alias("a"))

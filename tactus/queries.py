@@ -360,7 +360,26 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lev_sim")  # DuckDB counts bytes
 def lev_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("song_id", "line_index", "item_id", F.round(sim.lev_sim(F.col("a"), F.col("b")), 6).alias("similarity"))
+    """All pairs of a song's lines."""
+    pairs = sequence.song_pairs(_lines(spark, sf_dir), "text")
+    return pairs.select("song_id", "i", "j", F.round(sim.lev_sim(F.col("a_text"), F.col("b_text")), 6).alias("similarity"))
+
+
+@query("song_bigram_dice")
+def song_bigram_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bigram_dice of all pairs of a song's lines, without the first letters that its SQL asks for."""
+    pairs = sequence.song_pairs(sequence.numbered_bigrams(_lines(spark, sf_dir)), "grams")
+    return pairs.select("song_id", "i", "j", F.round(sequence.grams_dice(F.col("a_grams"), F.col("b_grams")), 6).alias("similarity"))
+
+
+@query("song_recall_sim")
+def song_recall_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recall_sim both ways of all pairs of a song's lines, without the first letters that its SQL asks for."""
+    grams = _lines(spark, sf_dir).withColumn("grams", F.array_distinct(sim.bigrams(F.col("text"))))
+    pairs = sequence.song_pairs(grams, "grams")
+    common = F.size(F.array_intersect("a_grams", "b_grams"))
+    share = [F.coalesce(F.round(common / F.nullif(F.size(c), F.lit(0)), 4), F.lit(0.0)) for c in ("a_grams", "b_grams")]
+    return pairs.select("song_id", "i", "j", share[0].alias("similarity"), share[1].alias("reverse"))
 
 
 _BIGRAMS = "list_transform(range(1, length({0})::BIGINT), lambda i: substr({0}, i, 2))"

@@ -166,3 +166,19 @@ def test_queries_against_sql(spark, name):
         return sorted([tuple(round(float(v), 6) if isinstance(v, float) or type(v).__name__ == "Decimal" else v for v in r) for r in rows], key=repr)
 
     assert rounded(df.select(*names).collect()) == rounded(found.fetchall())
+
+
+def test_pairs_of_a_song_need_no_common_prefix(spark):
+    """The pair queries compare all lines of a song; multisets as sets give the same Dice."""
+    some = [(1, 0, "abababx"), (1, 1, "xabab"), (1, 2, "zz"), (1, 3, "z"), (1, 4, "z"), (1, 5, ""), (1, 6, None), (2, 0, "abababx")]
+    lines = spark.createDataFrame(some, "song_id long, line_index int, text string")
+    grams = sequence.song_pairs(sequence.numbered_bigrams(lines), "grams")
+    got = {(r.i, r.j): r.d for r in grams.select("i", "j", sequence.grams_dice(F.col("a_grams"), F.col("b_grams")).alias("d")).collect()}
+    texts = sequence.song_pairs(lines.where("text is not null"), "text").select("i", "j", similarity.bigram_sim(F.col("a_text"), F.col("b_text")).alias("d"))
+    assert len(got) == 21 and all(got[r.i, r.j] == pytest.approx(r.d) for r in texts.collect())
+    assert got[0, 1] == pytest.approx(0.6) and got[3, 4] == 1
+    sizes = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("size(split(text, '\n', -1)) n").where("n > 0")
+    want = sizes.selectExpr("sum(n * (n - 1) div 2) w").first().w
+    for name in ("lev_sim", "song_bigram_dice", "song_recall_sim"):
+        df = queries.QUERIES[name](spark, SF)
+        assert df.count() == want and df.columns[:4] == ["song_id", "i", "j", "similarity"]
