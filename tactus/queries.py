@@ -270,6 +270,14 @@ def repeat_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.diagonal_runs(pairs, 1)
 
 
+@query("similar_diagonals")
+def similar_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repeat_diagonals as W08 has it: runs of two or more lines with bigram similarity 0.78 or more."""
+    lines = sequence.numbered_bigrams(_lines(spark, sf_dir)).withColumnRenamed("grams", "text")
+    # rounded: a quotient of exactly 0.78 counts
+    return sequence.repeated_diagonals(lines, lambda a, b: F.round(sequence.grams_dice(a, b), 9) >= 0.78, 2)
+
+
 @query(
     "repair_monotone",
     f"""WITH RECURSIVE {TIMELINE_SQL}, o AS (SELECT song_id, line_index, start_ms - (line_index % 5) * 700 AS s, end_ms AS e FROM doc_timeline),

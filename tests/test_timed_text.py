@@ -182,3 +182,35 @@ def test_pairs_of_a_song_need_no_common_prefix(spark):
     for name in ("lev_sim", "song_bigram_dice", "song_recall_sim"):
         df = queries.QUERIES[name](spark, SF)
         assert df.count() == want and df.columns[:4] == ["song_id", "i", "j", "similarity"]
+
+
+def test_similar_diagonals(spark, tmp_path):
+    """A chorus whose lines differ by a letter is a run, a single repeated line is none; against plain loops."""
+    song = ["we sing along the road", "until the night is over", "a verse", "we sing along the roads", "until the night is over!", "another one", "a verse"]
+    draw = random.Random(5)
+    other = ["".join(draw.choice("ab") for _ in range(draw.randint(0, 4))) for _ in range(40)]
+    texts = {1: song, 2: other}
+    spark.createDataFrame([(k, "\n".join(v)) for k, v in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def dice(a, b):
+        if not a or not b:
+            return 0.0
+        if min(len(a), len(b)) < 2:
+            return float(a == b)
+        x, y = ([t[i : i + 2] for i in range(len(t) - 1)] for t in (a, b))
+        return 2 * sum(min(x.count(g), y.count(g)) for g in set(x)) / (len(x) + len(y))
+
+    want = set()
+    for k, t in texts.items():
+        for off in range(2, len(t)):
+            hits = [dice(t[i], t[i + off]) >= 0.78 for i in range(len(t) - off)] + [False]
+            start = None
+            for i, hit in enumerate(hits):
+                if hit and start is None:
+                    start = i
+                if not hit and start is not None:
+                    if i - start >= 2:
+                        want.add((k, off, start, i - start))
+                    start = None
+    got = {(r.song_id, r.offset, r.first, r["size"]) for r in queries.QUERIES["similar_diagonals"](spark, str(tmp_path)).collect()}
+    assert (1, 3, 0, 2) in got and {x for x in got if x[0] == 1} == {(1, 3, 0, 2)} and got == want
