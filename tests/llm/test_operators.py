@@ -387,6 +387,14 @@ def test_lines_link_when_a_word_changes(spark):
     assert got == {k: (0,) if k % 2 else () for k in range(120)}
 
 
+def test_lines_without_spaces_and_short_lines_left(spark):
+    """Repeats of unspaced lines go; a document with a short line of its own stays."""
+    base = "the quick brown fox jumps over the lazy dog while nine small birds sing"
+    some = [(1, f"今日はとても良い天気ですね\n{base}"), (2, "今日はとても良い天気ですね\n明日"), (3, f"{base}\nmine alone"), (4, f"{base}\n \n")]
+    kept = {r.doc_id: r.text for r in rows(lines.clean(spark.createDataFrame(some, DOCS)))}
+    assert kept == {1: some[0][1], 2: "明日", 3: "mine alone"}
+
+
 def test_html(spark):
     page = (
         '<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav>'
