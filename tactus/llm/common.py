@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,44 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class Scratch:
+    """Stored tables of one operator's run, deleted as soon as nothing will read them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        self.paths.append(out.stored_at)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            self.paths.remove(t.stored_at)
+            discard(self.spark, t.stored_at)
+        release(self.spark)
+
+    def close(self, *but: DataFrame) -> None:
+        left = {t.stored_at for t in but}
+        for path in self.paths:
+            if path not in left:
+                discard(self.spark, path)
+        self.paths = [p for p in self.paths if p in left]
+        release(self.spark)
+
+
+def tasks(df: DataFrame) -> int:
+    """Partitions for work that its bytes don't tell: as many as the session sets for shuffles."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding them."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

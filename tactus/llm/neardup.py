@@ -12,7 +12,9 @@
    sets of shingles.
 
 A pair at similarity 0.8 misses all bands with probability (1 - 0.8**5)**32,
-about 3e-6. The tables between the steps are checkpointed in the shared folder.
+about 3e-6. What a bucket's hub leaves open is compared in blocks: the sketches of a
+block at once, then the full sets of the rows that are left. The tables between
+the steps are stored in the shared folder and deleted when they are used up.
 
 Defined cases: documents without words (null, empty or only white space) have
 an empty set, are linked with nothing and stand alone; a text of fewer words
@@ -28,10 +30,10 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import as_bytes, discard, written
+from tactus.llm.common import Scratch, as_bytes, tasks
 from tactus.llm.linking import labelled, resolve, shared
 
 BANDS, ROWS, BITS = 32, 5, 512
@@ -153,31 +155,157 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return joined.mapInArrow(batches, "a bigint, b bigint")
 
 
+def _distance(s: Column, t: Column) -> Column:
+    return sum((F.bit_count(s[i].bitwiseXOR(t[i])) for i in range(BITS // 64)), F.lit(0))
+
+
 def _judged(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sketches allow the similarity, with their distance z."""
     both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("s")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("t")), "b")
-    z = sum((F.bit_count(F.col("s")[i].bitwiseXOR(F.col("t")[i])) for i in range(BITS // 64)), F.lit(0))
-    return both.select("a", "b", z.alias("z")).where(F.col("z") <= distance_for(ESTIMATE_FROM))
+    return both.select("a", "b", _distance(F.col("s"), F.col("t")).alias("z")).where(F.col("z") <= distance_for(ESTIMATE_FROM))
+
+
+def _groups(it, key: int):
+    """Rows of sorted batches as one table for each run of equal values in the first key columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in range(key)]
+        changed = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            changed |= c[1:] != c[:-1]
+        starts = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+        for at, end in zip(starts, starts[1:], strict=False):
+            now = tuple(c[at] for c in columns)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sorted_groups(df: DataFrame) -> DataFrame:
+    return df.repartition(tasks(df), "k", "i", "j").sortWithinPartitions("k", "i", "j")
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the sketches of row x and column y allow the similarity."""
+    z = np.zeros((len(x), len(y)), np.int16)
+    for w in range(x.shape[1]):
+        z += np.bitwise_count(x[:, None, w] ^ y[None, :, w])
+    return z <= distance_for(ESTIMATE_FROM)
+
+
+def open_rows(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The rows of linking.blocks that have a counterpart in another component which their sketches allow."""
+    known = _sorted_groups(rows.join(sketches, "id").select("k", "i", "j", "minor", "id", "c", "sketch"))
+
+    def batches(it):
+        for group in _groups(it, 3):
+            group = group.combine_chunks()
+            minor = group.column(3).to_numpy()
+            c = group.column(5).to_numpy()
+            sketch = group.column(6).chunk(0).flatten().to_numpy().view(np.uint64).reshape(len(c), -1)
+            first, second = np.flatnonzero(minor), np.flatnonzero(~minor)
+            stays = np.zeros(len(c), bool)
+            for at in range(0, len(first), 256):
+                some = first[at : at + 256]
+                near = _near(sketch[some], sketch[second]) & (c[some][:, None] != c[second][None])
+                stays[some] |= near.any(axis=1)
+                stays[second] |= near.any(axis=0)
+            if stays.any():
+                yield from group.select(range(6)).filter(pa.array(stays)).to_batches()
+
+    return known.mapInArrow(batches, "k bigint, i int, j int, minor boolean, id bigint, c bigint")
+
+
+def _common(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets of first (rows) and second (columns)."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared_by = times[column] > 1
+    owner, column = owner[shared_by], np.unique(column[shared_by], return_inverse=True)[1]
+    out = np.zeros((len(first), len(second)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, width, 4096):
+        at, end = np.searchsorted(column, [low, low + 4096])
+        part = np.zeros((len(sets), min(4096, width - low)), np.float32)
+        part[owner[at:end], column[at:end] - low] = 1
+        out += part[first] @ part[second].T
+    return out
+
+
+def linked_blocks(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join all components between which a block has a similar pair; full sets are compared."""
+    known = _sorted_groups(rows.join(texts, "id").select("k", "i", "j", "minor", "id", "c", "text"))
+
+    def batches(it):
+        hashes = Hashes()
+        for group in _groups(it, 3):
+            minor, ids, c = (group.column(x).to_numpy() for x in (3, 4, 5))
+            texts_ = as_bytes(group.column(6))
+            sets = [shingle_hashes(t.lower().split(), size, hashes) for t in texts_]
+            n = np.array([len(s) for s in sets])
+            first, second = np.flatnonzero(minor), np.flatnonzero(~minor)
+            a, b = [], []
+            both = _common(sets, first, second)
+            linked = 100 * both >= percent * (n[first][:, None] + n[second][None] - both)
+            linked &= c[first][:, None] != c[second][None]
+            root: dict[int, int] = {}
+
+            def find(x: int, root=root) -> int:
+                while x in root:
+                    x = root[x]
+                return x
+
+            for x, y in zip(*(v.tolist() for v in np.nonzero(linked)), strict=True):
+                p, q = first[x], second[y]
+                u, v = find(int(c[p])), find(int(c[q]))
+                if u == v:
+                    continue
+                s, t = _exact(texts_[p].lower().split(), size), _exact(texts_[q].lower().split(), size)
+                if 100 * len(s & t) >= percent * len(s | t):
+                    root[max(u, v)] = min(u, v)
+                    a.append(ids[p])
+                    b.append(ids[q])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return known.mapInArrow(batches, "a bigint, b bigint")
 
 
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
-    signed = written(signatures(docs, size), "signatures")
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.keep(signatures(docs, size), "signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("r"))
-    classes = written(classes.select("digest", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("size"), F.col("r.bands").alias("bands"), F.col("r.sketch").alias("sketch")), "classes")
+    classes = scratch.keep(classes.select("digest", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("size"), F.col("r.bands").alias("bands"), F.col("r.sketch").alias("sketch")), "classes")
+    brief = scratch.keep(signed.select("doc_id", "n_shingles", "digest"), "sizes")
 
-    buckets = shared(classes.select("id", "size", F.explode("bands").alias("k")))
+    buckets = scratch.keep(shared(classes.select("id", "size", F.explode("bands").alias("k"))), "buckets")
     ids = buckets.select("id").distinct()
-    sketches = classes.select("id", "sketch").join(ids, "id", "left_semi")
-    texts = written(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"), "texts")
-    labels = resolve(buckets, lambda pairs: _judged(pairs, sketches), lambda pairs: confirmed(pairs, texts, size, percent), percent)
-    discard(docs.sparkSession, texts.stored_at)  # the labels are stored
+    sketches = scratch.keep(classes.select("id", "sketch").join(ids, "id", "left_semi"), "sketches")
+    members = scratch.keep(classes.select("digest", "id"), "members")
+    scratch.drop(signed, classes)
+    texts = scratch.keep(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"), "texts")
+
+    def compare(rows: DataFrame) -> DataFrame:
+        left = scratch.keep(open_rows(rows, sketches), "open")
+        return linked_blocks(left, texts, size, percent)
 
-    members = labelled(classes.select("digest", "id"), labels, "id", "component").select("digest", "component")
-    found = signed.select("doc_id", "n_shingles", "digest").join(members, "digest", "left")
+    labels = resolve(buckets, lambda pairs: _judged(pairs, sketches), lambda pairs: confirmed(pairs, texts, size, percent), compare, percent, scratch)
+    found = brief.join(labelled(members, labels, "id", "component").select("digest", "component"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = scratch.keep(found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")), "components")
+    scratch.close(out)
+    return out
 
 
 def clean(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -51,7 +51,7 @@ def op9_tag_ratio_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return found.select(
         "doc_id",
         F.col("n_lines").cast("bigint").alias("n_lines"),
