@@ -55,8 +55,9 @@ def cheapest_on_path(path: list[tuple[int, int]], cost: np.ndarray) -> list[int]
 def assign_groups(similarity: np.ndarray) -> list[int]:
     """The segment of each line when every segment takes a run of lines in order.
 
-    Maximises the sum over segments of their lines' mean similarity; of equal
-    divisions, the one that gives earlier segments fewer lines.
+    Maximises the sum over segments of their lines' mean similarity. Of equal
+    divisions, each segment from the last on takes as many lines as it can; it
+    stays empty only where that is better.
     """
     n, m = similarity.shape
     sums = np.vstack([np.zeros(m), np.cumsum(similarity, axis=0)])
@@ -64,12 +65,12 @@ def assign_groups(similarity: np.ndarray) -> list[int]:
     best[0, 0] = 0.0
     came = np.zeros((n + 1, m + 1), int)
     for j in range(1, m + 1):
-        best[:, j], came[:, j] = best[:, j - 1], np.arange(n + 1)  # a segment may stay empty
+        best[:, j], came[:, j] = best[:, j - 1], np.arange(n + 1)  # a segment may stay empty, but not on a tie
         for i in range(1, n + 1):
             k = np.arange(i)
             values = best[:i, j - 1] + (sums[i, j - 1] - sums[:i, j - 1]) / (i - k)
             at = int(np.argmax(values))
-            if values[at] > best[i, j]:
+            if values[at] >= best[i, j]:
                 best[i, j], came[i, j] = values[at], at
     out, i = [-1] * n, n
     for j in range(m, 0, -1):

@@ -96,17 +96,31 @@ def confidence_report(words: DataFrame, lines: DataFrame, method: str = "whisper
     median = F.when(F.size("p") > 0, F.element_at("p", F.floor(F.size("p") / 2).cast("int") + 1))
     odd = F.size(F.filter("all", lambda g: (g > 3 * F.col("median")) & (g > 2000)))
     df = per_song.withColumn("median", median)
-    coverage, mean = F.col("timed") / F.col("words"), F.col("cents") / F.col("words") / 100
+    # a song without words has neither
+    share = lambda c: F.when(F.col("words") > 0, F.col(c) / F.greatest(F.col("words"), F.lit(1))).otherwise(F.lit(0.0))
+    coverage, mean = share("timed"), share("cents") / 100
     overall = METHOD_FACTOR.get(method, 0.6) * coverage * (0.4 + 0.6 * mean) * (1 - 0.5 * F.col("flagged") / F.col("lines"))
-    return df.select("song_id", F.round(coverage, 3).alias("coverage"), F.round(mean, 3).alias("mean_score"), "low_words", "flagged", odd.cast("bigint").alias("odd_gaps"), F.round(overall, 3).alias("overall"))
+    return df.select("song_id", F.round(coverage, 3).alias("coverage"), F.round(mean, 3).alias("mean_score"), "low_words", "flagged", odd.cast("bigint").alias("odd_gaps"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), overall)), 3).alias("overall"))
 
 
-def split_metrics(lines: DataFrame) -> DataFrame:
-    """song_id with least, most and mean duration, their ratio and the mean deviation."""
-    dur = lines.select("song_id", (F.col("end_ms") - F.col("start_ms")).alias("d"))
-    dur = dur.withColumn("m", F.avg("d").over(W.partitionBy("song_id")))
-    found = dur.groupBy("song_id").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.round(F.avg("d"), 3).alias("mean"), F.round(F.avg(F.abs(F.col("d") - F.col("m"))), 3).alias("deviation"))
-    return found.withColumn("ratio", F.round(F.col("most") / F.greatest(F.col("least"), F.lit(1)), 4))
+def split_metrics(lines: DataFrame, words: DataFrame, short_ms: int = 400) -> DataFrame:
+    """song_id with lines, least, most and mean duration, mean deviation, their ratio (infinite for a least of 0), short lines and lines without words."""
+    counts = words.groupBy("song_id", "line_index").agg(F.count(F.lit(1)).alias("w"))
+    dur = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0).cast("bigint"))
+    each = lines.select("song_id", "line_index", dur.alias("d")).join(counts, ["song_id", "line_index"], "left")
+    each = each.withColumn("m", F.avg("d").over(W.partitionBy("song_id")))
+    found = each.groupBy("song_id").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.min("d").alias("least"),
+        F.max("d").alias("most"),
+        F.round(F.avg("d"), 3).alias("mean"),
+        F.round(F.avg(F.abs(F.col("d") - F.col("m"))), 3).alias("deviation"),
+        _n(F.col("d") < short_ms).alias("short"),
+        _n(F.coalesce("w", F.lit(0)) == 0).alias("wordless"),
+        _n(F.coalesce("w", F.lit(0)) <= 1).alias("sparse"),
+    )
+    ratio = F.when(F.col("least") > 0, F.round(F.col("most") / F.greatest(F.col("least"), F.lit(1)), 1)).otherwise(F.lit(float("inf")))
+    return found.withColumn("ratio", ratio)
 
 
 def onset_regression(points: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tactus.operators.sequence import before, with_gaps
+from tactus.operators.sequence import song, with_gaps
 
 
 def upsert(songs: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -49,20 +49,24 @@ def timeline_summary(lines: DataFrame) -> DataFrame:
     return found.select("song_id", (F.col("soft") + F.col("strong") + 1).alias("phrases"), "cont", "soft", "strong", "longest_gap", F.element_at("d", F.floor(F.size("d") / 2).cast("int") + 1).alias("median_ms"))
 
 
-def boundary_audit(lines: DataFrame, shortest_ms: int = 500, longest_ms: int = 12_000) -> DataFrame:
-    """song_id with lines too short, too long or starting before an earlier end, and the first of any."""
-    reached = F.max("end_ms").over(before())
-    dur = F.col("end_ms") - F.col("start_ms")
-    df = lines.withColumns({"short": dur < shortest_ms, "long": dur > longest_ms, "back": F.coalesce(F.col("start_ms") < reached, F.lit(False))})
-    bad = F.when(F.col("short") | F.col("long") | F.col("back"), F.col("line_index"))
-    counts = [F.count(F.when(F.col(c), F.lit(1))).alias(f"n_{c}") for c in ("short", "long", "back")]
-    return df.groupBy("song_id").agg(*counts, F.min(bad).alias("first"))
+def boundary_audit(lines: DataFrame, short_ms: int = 500, gap_ms: int = 2000, tolerance_ms: int = 10) -> DataFrame:
+    """song_id with lines of no length, too short, starting before the line before ends or long after it.
 
+    first_drift is the first line that goes back (null without any), odd the lines with any mark.
+    """
+    dur, delta = F.col("end_ms") - F.col("start_ms"), F.col("start_ms") - F.lag("end_ms").over(song())
+    marks = {"empty": dur <= 0, "short": (dur > 0) & (dur < short_ms), "back": F.coalesce(delta < -tolerance_ms, F.lit(False)), "gap": F.coalesce(delta > gap_ms, F.lit(False))}
+    df = lines.withColumns(marks)
+    counts = [F.count(F.when(F.col(c), F.lit(1))).alias(f"n_{c}") for c in marks]
+    odd = F.count(F.when(F.col("empty") | F.col("short") | F.col("back") | F.col("gap"), F.lit(1)))
+    return df.groupBy("song_id").agg(*counts, odd.alias("odd"), F.min(F.when(F.col("back"), F.col("line_index"))).alias("first_drift"))
 
-def drift_curve(lines: DataFrame, segments: DataFrame) -> DataFrame:
-    """song_id, seg_index, offset of the segment's first line from its start, and the running sum."""
-    first = lines.join(segments.select("song_id", "seg_index", F.col("start_ms").alias("s"), F.col("end_ms").alias("e")), "song_id").where("start_ms >= s and start_ms <= e")
-    offset = first.groupBy("song_id", "seg_index").agg(F.min(F.col("start_ms") - F.col("s")).alias("offset_ms"))
+
+def drift_curve(lines: DataFrame, segments: DataFrame, near_ms: int = 1000) -> DataFrame:
+    """song_id, seg_index, offset of the first line, by order, that starts in or near a segment, and the running sum."""
+    near = segments.select("song_id", "seg_index", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
+    inside = lines.join(near, "song_id").where((F.col("start_ms") >= F.col("s") - near_ms) & (F.col("start_ms") <= F.col("e") + near_ms))
+    offset = inside.groupBy("song_id", "seg_index").agg(F.min_by(F.col("start_ms") - F.col("s"), "line_index").alias("offset_ms"))
     return offset.withColumn("total_ms", F.sum("offset_ms").over(W.partitionBy("song_id").orderBy("seg_index").rowsBetween(W.unboundedPreceding, 0)))
 
 

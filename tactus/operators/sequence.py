@@ -126,11 +126,28 @@ def repeats(lines: DataFrame) -> DataFrame:
     return lines.withColumn("repeat", F.row_number().over(W.partitionBy("song_id", "text").orderBy("line_index")) > 1)
 
 
-def bridge_gaps(lines: DataFrame, least_ms: int = 50, most_ms: int = 1500) -> DataFrame:
-    """A line that follows a short pause starts where the line before ends."""
-    gap = F.col("start_ms") - F.lag("end_ms").over(song())
-    bridged = F.when((gap > least_ms) & (gap < most_ms), F.lag("end_ms").over(song())).otherwise(F.col("start_ms"))
-    return lines.withColumn("start_ms", bridged)
+def bridge_gaps(lines: DataFrame, words: DataFrame, least_ms: int = 50, most_ms: int = 1500) -> DataFrame:
+    """lines (with transcript_index) that start where the line before ends, if the pause between them isn't sung.
+
+    Within one segment any pause goes; between adjacent segments one shorter
+    than most_ms without a word of the transcript in it. Whether a word touches
+    a pause is told by the latest end of all words that start before the pause
+    is over: words and pauses are merged in time order, not joined by range.
+    """
+    ended, seg = F.lag("end_ms").over(song()), F.col("transcript_index")
+    df = lines.withColumns({"_end": ended, "_seg": F.lag(seg).over(song())}).withColumn("_gap", F.col("start_ms") - F.col("_end"))
+    ends = df.where(F.col("_gap") > least_ms).select("song_id", "line_index", (F.col("start_ms") + 50).alias("t"), F.col("_end").alias("from"))
+    spoken = words.select("song_id", F.lit(None).cast("int").alias("line_index"), F.col("start_ms").alias("t"), F.lit(None).cast("bigint").alias("from"), "end_ms")
+    merged = spoken.unionByName(ends.withColumn("end_ms", F.lit(None).cast("bigint")))
+    # words come before a pause that ends at the same time
+    order = W.partitionBy("song_id").orderBy("t", F.col("line_index").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    told = merged.withColumn("_latest", F.max("end_ms").over(order)).where("line_index is not null")
+    sung = told.select("song_id", "line_index", (F.col("_latest") >= F.col("from") - 50).alias("_sung"))
+    df = df.join(sung, ["song_id", "line_index"], "left")
+    inside = (F.col("_seg") >= 0) & (F.col("_seg") == seg)
+    beside = (F.col("_seg") >= 0) & (F.col("_seg") + 1 == seg) & (F.col("_gap") < most_ms) & ~F.coalesce("_sung", F.lit(False))
+    moved = F.when((F.col("_gap") > least_ms) & (inside | beside), F.col("_end")).otherwise(F.col("start_ms"))
+    return df.withColumn("start_ms", moved).drop("_end", "_seg", "_gap", "_sung")
 
 
 def subdivide_shared(lines: DataFrame) -> DataFrame:
@@ -143,11 +160,12 @@ def subdivide_shared(lines: DataFrame) -> DataFrame:
     return placed.withColumns({"start_ms": start, "end_ms": end}).drop("own", "run", "k", "of", "dur")
 
 
-def extend_to_next(lines: DataFrame, near_ms: int = 1200, keep_ms: int = 50) -> DataFrame:
-    """A line ends keep_ms before a near next line, or after at most near_ms more."""
+def extend_to_next(lines: DataFrame, most_ms: int = 1200, keep_ms: int = 50) -> DataFrame:
+    """A line followed by a pause ends keep_ms before the next one, but is extended by most_ms at most; others stay."""
     following = F.lead("start_ms").over(song())
-    near = following - F.col("end_ms") <= near_ms
-    return lines.withColumn("end_ms", F.when(following.isNull(), F.col("end_ms")).when(near, following - keep_ms).otherwise(F.col("end_ms") + near_ms))
+    gap = following - F.col("end_ms")
+    end = F.when(gap <= most_ms, following - keep_ms).otherwise(F.least(F.col("end_ms") + most_ms, following - keep_ms))
+    return lines.withColumn("end_ms", F.when(gap > 0, end).otherwise(F.col("end_ms")))
 
 
 def numbered_bigrams(lines: DataFrame) -> DataFrame:

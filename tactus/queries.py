@@ -127,14 +127,18 @@ def confidence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.confidence_report(doc_words(docs), doc_timeline(docs))
 
 
-@query(
-    "split_metrics",
-    f"""WITH {TIMELINE_SQL}, d AS (SELECT song_id, end_ms - start_ms AS d, avg(end_ms - start_ms) OVER (PARTITION BY song_id) AS m FROM doc_timeline),
-agg AS (SELECT song_id, min(d) AS least, max(d) AS most, round(avg(d), 3) AS mean, round(avg(abs(d - m)), 3) AS deviation FROM d GROUP BY song_id)
-SELECT *, round(most::DOUBLE / greatest(least, 1), 4) AS ratio FROM agg""",
-)
+SPLIT_SQL = """c AS (SELECT song_id, line_index, count(*) AS w FROM doc_words GROUP BY song_id, line_index),
+d AS (SELECT t.song_id, greatest(end_ms - start_ms, 0) AS d, avg(greatest(end_ms - start_ms, 0)) OVER (PARTITION BY t.song_id) AS m, coalesce(w, 0) AS w
+  FROM doc_timeline t LEFT JOIN c ON c.song_id = t.song_id AND c.line_index = t.line_index),
+agg AS (SELECT song_id, count(*) AS lines, min(d) AS least, max(d) AS most, round(avg(d), 3) AS mean, round(avg(abs(d - m)), 3) AS deviation,
+  count(*) FILTER (d < 400) AS short, count(*) FILTER (w = 0) AS wordless, count(*) FILTER (w <= 1) AS sparse FROM d GROUP BY song_id),
+split AS (SELECT *, CASE WHEN least > 0 THEN round(most::DOUBLE / greatest(least, 1)::DOUBLE, 1) ELSE 'inf'::DOUBLE END AS ratio FROM agg)"""
+
+
+@query("split_metrics", f"WITH {WORDS_SQL}, {SPLIT_SQL} SELECT * FROM split")
 def split_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.split_metrics(_timeline(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents")
+    return quality.split_metrics(doc_timeline(docs), doc_words(docs))
 
 
 @query(
@@ -226,17 +230,22 @@ def repeat_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "bridge_gaps",
-    f"""WITH {TIMELINE_SQL}, p AS (SELECT *, lag(end_ms) OVER (PARTITION BY song_id ORDER BY line_index) AS pe FROM doc_timeline)
-SELECT song_id, line_index, CASE WHEN start_ms - pe > 50 AND start_ms - pe < 1500 THEN pe ELSE start_ms END AS start_ms, end_ms FROM p""",
+    f"""WITH {WORDS_SQL}, p AS (SELECT *, line_index // 2 AS seg, lag(end_ms) OVER w AS pe, lag(line_index // 2) OVER w AS ps FROM doc_timeline WINDOW w AS (PARTITION BY song_id ORDER BY line_index)),
+s AS (SELECT p.song_id, p.line_index, bool_or(w.end_ms >= pe - 50) AS sung FROM p JOIN doc_words w ON w.song_id = p.song_id AND w.line_index % 3 = 0 AND w.start_ms <= p.start_ms + 50 GROUP BY p.song_id, p.line_index)
+SELECT p.song_id, p.line_index, CASE WHEN start_ms - pe > 50 AND (seg = ps OR seg = ps + 1 AND start_ms - pe < 1500 AND NOT coalesce(sung, false)) THEN pe ELSE start_ms END AS start_ms, end_ms
+FROM p LEFT JOIN s ON s.song_id = p.song_id AND s.line_index = p.line_index""",
 )
 def bridge_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.bridge_gaps(_timeline(spark, sf_dir)).select("song_id", "line_index", "start_ms", "end_ms")
+    """Two lines a segment; the transcript has the words of every third line."""
+    docs = table(spark, sf_dir, "documents")
+    lines = doc_timeline(docs).withColumn("transcript_index", F.expr("line_index div 2"))
+    return sequence.bridge_gaps(lines, doc_words(docs).where("line_index % 3 = 0")).select("song_id", "line_index", "start_ms", "end_ms")
 
 
 @query(
     "extend_to_next",
     f"""WITH {TIMELINE_SQL}, p AS (SELECT *, lead(start_ms) OVER (PARTITION BY song_id ORDER BY line_index) AS ns FROM doc_timeline)
-SELECT song_id, line_index, start_ms, CASE WHEN ns IS NULL THEN end_ms WHEN ns - end_ms <= 1200 THEN ns - 50 ELSE end_ms + 1200 END AS end_ms FROM p""",
+SELECT song_id, line_index, start_ms, CASE WHEN ns IS NULL OR ns <= end_ms THEN end_ms WHEN ns - end_ms <= 1200 THEN ns - 50 ELSE least(end_ms + 1200, ns - 50) END AS end_ms FROM p""",
 )
 def extend_to_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.extend_to_next(_timeline(spark, sf_dir)).select("song_id", "line_index", "start_ms", "end_ms")
@@ -616,9 +625,9 @@ def timeline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "boundary_audit",
-    f"""WITH {TIMELINE_SQL}, r AS (SELECT *, end_ms - start_ms AS dur, coalesce(start_ms < max(end_ms) OVER (PARTITION BY song_id ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS back FROM doc_timeline)
-SELECT song_id, count(*) FILTER (dur < 500) AS n_short, count(*) FILTER (dur > 12000) AS n_long, count(*) FILTER (back) AS n_back,
-  min(line_index) FILTER (dur < 500 OR dur > 12000 OR back) AS first FROM r GROUP BY song_id""",
+    f"""WITH {TIMELINE_SQL}, r AS (SELECT *, end_ms - start_ms AS dur, start_ms - lag(end_ms) OVER (PARTITION BY song_id ORDER BY line_index) AS delta FROM doc_timeline)
+SELECT song_id, count(*) FILTER (dur <= 0) AS n_empty, count(*) FILTER (dur > 0 AND dur < 500) AS n_short, count(*) FILTER (delta < -10) AS n_back, count(*) FILTER (delta > 2000) AS n_gap,
+  count(*) FILTER (dur < 500 OR delta < -10 OR delta > 2000) AS odd, min(line_index) FILTER (delta < -10) AS first_drift FROM r GROUP BY song_id""",
 )
 def boundary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.boundary_audit(_timeline(spark, sf_dir))
@@ -626,8 +635,8 @@ def boundary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "drift_curve",
-    f"""{SEGMENTS_SQL}, o AS (SELECT l.song_id, seg_index, min(l.start_ms - s.start_ms) AS offset_ms FROM doc_timeline l JOIN segments s
-  ON l.song_id = s.song_id AND l.start_ms BETWEEN s.start_ms AND s.end_ms GROUP BY l.song_id, seg_index)
+    f"""{SEGMENTS_SQL}, o AS (SELECT l.song_id, seg_index, arg_min(l.start_ms - s.start_ms, line_index) AS offset_ms FROM doc_timeline l JOIN segments s
+  ON l.song_id = s.song_id AND l.start_ms BETWEEN s.start_ms - 1000 AND s.end_ms + 1000 GROUP BY l.song_id, seg_index)
 SELECT *, (sum(offset_ms) OVER (PARTITION BY song_id ORDER BY seg_index))::BIGINT AS total_ms FROM o""",
 )
 def drift_curve(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,18 +25,26 @@ class Session:
     drifts: list[float] = field(default_factory=list)
 
     def step(self, event: dict) -> dict:
-        """Applies one event (kind, now_ms, drift in seconds, confidence) and reports."""
-        kind, drift, correction = event["kind"], event["drift"] or 0.0, 0.0
+        """Applies one event and reports.
+
+        kind and now_ms; playback and line_start (seconds) of the active or
+        reported line, whose drift from the shifted line start is taken; where
+        they are missing, drift is used as it is. A tick needs confidence.
+        """
+        kind, correction = event["kind"], 0.0
+        played, start = event.get("playback"), event.get("line_start")
+        known = played is not None and start is not None and played == played and start == start
+        drift = played - (start + self.offset) if known else (event.get("drift") or 0.0)
+        due = event["now_ms"] - self.last_anchor_ms > ANCHOR_EVERY_MS and (event["confidence"] or 0) >= ANCHOR_CONFIDENCE
         if kind == "seek":
             self.drifts = []
-        elif kind == "manual_anchor":
-            correction = drift
-        elif event["now_ms"] - self.last_anchor_ms >= ANCHOR_EVERY_MS and (event["confidence"] or 0) >= ANCHOR_CONFIDENCE and abs(drift) >= LEAST_DRIFT:
-            correction = drift if abs(drift) > HARD_DRIFT else SOFTNESS * drift
-        if correction:
-            self.offset += correction
+        elif kind == "manual_anchor" or due:
+            # every anchor is softened alike, unless the drift is hard; a small drift at a tick only renews the anchor
+            if kind == "manual_anchor" or abs(drift) >= LEAST_DRIFT:
+                correction = drift if abs(drift) > HARD_DRIFT else SOFTNESS * drift
+                self.drifts = [*self.drifts, drift][-KEPT:]
+                self.offset += correction
             self.last_anchor_ms = event["now_ms"]
-            self.drifts = [*self.drifts, drift][-KEPT:]
         reliable = max(map(abs, self.drifts[-5:]), default=0.0) < RELIABLE
         return {"now_ms": event["now_ms"], "kind": kind, "drift": drift, "correction": correction, "shift": self.offset, "reliable": reliable}
 
@@ -47,7 +55,7 @@ def _run(session: Session, key: int, events: pd.DataFrame) -> pd.DataFrame:
 
 
 def batch(events: DataFrame) -> DataFrame:
-    """Reports of recorded events (session_id, now_ms, kind, drift, confidence)."""
+    """Reports of recorded events (session_id, now_ms, kind, confidence and playback and line_start, or drift)."""
     return events.groupBy("session_id").applyInPandas(lambda key, pdf: _run(Session(), key[0], pdf), OUT)
 
 
