@@ -107,24 +107,30 @@ def edit_similarity(a: str, b: str) -> float:
     return 1 - int(row[-1]) / max(len(a), len(b))
 
 
+def runs_on_diagonal(similar: np.ndarray, offset: int) -> np.ndarray:
+    """(first, end) of the runs of ones on a diagonal that a zero ends; a run up to the diagonal's end is none."""
+    marks = np.diag(similar, offset).astype(np.int8)
+    steps = np.diff(marks, prepend=0)
+    ends = np.flatnonzero(steps < 0)
+    return np.column_stack([np.flatnonzero(steps > 0)[: len(ends)], ends])
+
+
 def choruses(similar: np.ndarray, least: int = CHORUS_LINES) -> list[range]:
-    """Runs of lines that are like the lines a fixed offset on, found by offset.
+    """Runs of least or more lines that are like the lines a fixed offset on, the shortest offsets first.
 
-    A run counts when a line that isn't alike follows it, and its first line is new.
+    A run counts when a line that isn't alike follows it, and its first line is in no run before.
     """
-    n, seen, found = len(similar), set(), []
+    n = len(similar)
+    if n < 2 * least:
+        return []
+    taken, found = np.zeros(n, bool), []
     for offset in range(least, n):
-        alike = [bool(similar[i, i + offset]) for i in range(n - offset)]
-        first = None
-        for i, yes in enumerate(alike):
-            if yes and first is None:
-                first = i
-            if not yes and first is not None:
-                if i - first >= least and first not in seen:
-                    found.append(range(first, i))
-                    seen.update(found[-1])
-                first = None
-    return found if n >= 2 * least else []
+        spans = runs_on_diagonal(similar, offset)
+        for first, end in spans[spans[:, 1] - spans[:, 0] >= least].tolist():
+            if not taken[first]:
+                taken[first:end] = True
+                found.append(range(first, end))
+    return found
 
 
 _MATCHED = "song_id bigint, line_index int, transcript_index int, similarity double, start_ms bigint, end_ms bigint, chorus boolean"
