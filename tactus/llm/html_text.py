@@ -8,7 +8,13 @@ the smoothed ratios): lines above it are content. The content region is the
 innermost container that holds most of the content lines' characters (an
 ``article`` or ``main`` is never left for a part of it), and every line of the
 region is returned, short ones too, save those in elements that are
-boilerplate by name or by a word of their class or id.
+boilerplate: by element name or role; by a class or id of nothing but words
+for boilerplate and layout; outside articles by any such word; and inside an
+article, where a class has other words, too, by its lines' ratios: lines whose
+own or smoothed ratio is below the threshold go, the others are the article's.
+
+Time is linear in a page's length but for closing tags that leave open
+elements between: containers know their parent, not their path.
 
 One narrow pass; a page is held by one worker at a time. Defined cases: a null
 or empty page, or one without text outside boilerplate, gives an empty text;
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -38,7 +45,7 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article body div main section table tbody td tr".split())
 DROPPED = frozenset(
-    "aside button canvas datalist dialog embed fieldset footer form head iframe input label legend math menu nav noscript object option "
+    "aside button canvas datalist dialog embed fieldset footer form head iframe input legend menu nav noscript object option "
     "script select style svg template textarea title".split()
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -51,63 +58,83 @@ BOILERPLATE = frozenset(
     "related replies reply respond response responses share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription teaser toolbar topbar widget".split()
 )
+#: Words of a class that say nothing of what an element holds.
+LAYOUT = frozenset(
+    "area bar block bottom box button buttons card cards col column container content entry group grid icon icons inner item items left link links list "
+    "main outer panel right row section sm md lg xl slot text title top unit wrap wrapper".split()
+)
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
-def _is_boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+#: How sure it is that an element is boilerplate.
+NO, PERHAPS, YES = 0, 1, 2
+
+
+def _boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> int:
     if tag in DROPPED:
-        return True
+        return YES
     if tag in ("html", "body", "main", "article"):
-        return False
+        return NO
+    found = NO
     for name, value in attrs:
         if not value:
             if name == "hidden":
-                return True
+                return YES
         elif name in ("class", "id"):
-            if any(w.lower() in BOILERPLATE for w in _SPLIT.split(value)):
-                return True
+            for token in value.split():
+                words = {w.lower() for w in _SPLIT.split(token) if w}
+                if words & BOILERPLATE:
+                    if words <= BOILERPLATE | LAYOUT:
+                        return YES
+                    found = PERHAPS
         elif name == "role":
             if value.lower() in ROLES:
-                return True
+                return YES
         elif (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-            return True
-    return False
+            return YES
+    return found
 
 
 class _Line:
-    __slots__ = ("dropped", "path", "ratio", "text")
+    __slots__ = ("container", "dropped", "ratio", "text")
 
-    def __init__(self, text: str, ratio: float, dropped: bool, path: tuple[int, ...]):
-        self.text, self.ratio, self.dropped, self.path = text, ratio, dropped, path
+    def __init__(self, text: str, ratio: float, dropped: int, container: int):
+        self.text, self.ratio, self.dropped, self.container = text, ratio, dropped, container
 
 
 class _Collector(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
-        #: Open elements that aren't inline: name, whether boilerplate, container path.
-        self.open: list[tuple[str, bool, tuple[int, ...]]] = [("", False, (0,))]
-        self.whole: set[int] = set()  # articles and mains
+        #: Open elements that aren't inline: name, whether boilerplate, container.
+        self.open: list[tuple[str, int, int]] = [("", NO, 0)]
+        self.names: Counter[str] = Counter()  # of the open elements
+        #: For each container: the one around it, whether it is an article or main, and whether it is one or in one.
+        self.parent, self.whole, self.within = [0], [False], [False]
         self.text: list[str] = []
-        self.tags = self.containers = 0
+        self.tags = 0
 
     def flush(self) -> None:
         if self.text:
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             self.text = []
             if text:
-                tag, dropped, path = self.open[-1]
-                self.lines.append(_Line(text, len(text) / max(self.tags, 1), dropped, path))
+                _, dropped, container = self.open[-1]
+                self.lines.append(_Line(text, len(text) / max(self.tags, 1), dropped, container))
                 self.tags = 0
 
     def close_to(self, tag: str, within: str = "") -> None:
         """Closes the innermost open tag, unless an element of within is further in."""
+        if not self.names[tag]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             name = self.open[k][0]
             if name == tag:
                 self.flush()
+                for gone, *_ in self.open[k:]:
+                    self.names[gone] -= 1
                 del self.open[k:]
                 return
             if name in within.split():
@@ -126,40 +153,39 @@ class _Collector(HTMLParser):
                 self.close_to(tag, ITEMS[tag])
         if tag in VOID:
             return
-        _, dropped, path = self.open[-1]
-        own = _is_boilerplate(tag, attrs)
+        around, dropped, container = self.open[-1]
+        own = _boilerplate(tag, attrs)
+        if own == PERHAPS and not self.within[container]:
+            own = YES
         if tag in BLOCK or own:
             if tag == "header":  # an article's own header holds its title
-                own = True
-            if dropped and tag in HEADING and self.open[-1][0] == "header" and self.whole & set(path):
-                dropped = False
+                own = YES
+            if dropped and tag in HEADING and around == "header" and self.within[container]:
+                dropped = NO
             if tag in CONTAINER:
-                self.containers += 1
-                path = (*path, self.containers)
-                if tag in ("article", "main"):
-                    self.whole.add(self.containers)
+                self.parent.append(container)
+                self.whole.append(tag in ("article", "main"))
+                self.within.append(self.whole[-1] or self.within[container])
+                container = len(self.parent) - 1
             if own and tag not in BLOCK:
                 self.flush()
-            self.open.append((tag, dropped or own, path))
+            self.open.append((tag, max(dropped, own), container))
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag, attrs) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:  # HTML has no self-closing elements
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)  # HTML has no self-closing elements
 
     def handle_endtag(self, tag) -> None:
         self.tags += 1
         if tag in BLOCK:
             self.flush()
-        if tag in BLOCK or tag in DROPPED or any(name == tag for name, *_ in self.open):
-            self.close_to(tag)
+        self.close_to(tag)
 
     def handle_data(self, data) -> None:
         self.text.append(data)
 
 
-def lines_of(html: str) -> tuple[list[_Line], set[int]]:
+def parsed(html: str) -> _Collector:
     for source in (html, html.replace("<![", "&lt;![")):
         parser = _Collector()
         try:
@@ -169,7 +195,7 @@ def lines_of(html: str) -> tuple[list[_Line], set[int]]:
             continue
         break
     parser.flush()
-    return parser.lines, parser.whole
+    return parser
 
 
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
@@ -184,26 +210,34 @@ def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
 
 def main_text(html: str | None) -> str:
     """The blocks of the page's article, joined by empty lines."""
-    lines, whole = lines_of(html) if html else ([], set())
-    if not any(not x.dropped for x in lines):
+    page = parsed(html or "")
+    lines = page.lines
+    if all(x.dropped == YES for x in lines):
         return ""
     smooth = smoothed([x.ratio for x in lines])
     mean = sum(smooth) / len(smooth)
     limit = math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth))
-    content = [x for x, s in zip(lines, smooth, strict=True) if s >= limit and not x.dropped] or [x for x in lines if not x.dropped]
-    weight: dict[int, int] = {}
+    kept = [x for x, s in zip(lines, smooth, strict=True) if x.dropped == NO or (x.dropped == PERHAPS and min(s, x.ratio) >= limit)]
+    content = [x for x, s in zip(lines, smooth, strict=True) if s >= limit and x.dropped != YES] or kept
+    if not kept:
+        return ""
+    size = len(page.parent)
+    weight, heaviest, inside = [0] * size, [0] * size, [False] * size
     for x in content:
-        for c in x.path:
-            weight[c] = weight.get(c, 0) + len(x.text)
-    least = MOST * weight[0]
+        weight[x.container] += len(x.text)
+    for c in range(size - 1, 0, -1):  # a container comes after the one around it
+        around = page.parent[c]
+        weight[around] += weight[c]
+        if not heaviest[around] or weight[c] >= weight[heaviest[around]]:
+            heaviest[around] = c
     region = 0
-    for c in max((x.path for x in content), key=lambda p: [weight[c] for c in p]):
-        if weight[c] < least:
-            break
+    while (c := heaviest[region]) and weight[c] >= MOST * weight[0]:
         region = c
-        if c in whole:
+        if page.whole[c]:
             break
-    return "\n\n".join([x.text for x in lines if not x.dropped and region in x.path])
+    for c in range(size):
+        inside[c] = c == region or (c > 0 and inside[page.parent[c]])
+    return "\n\n".join([x.text for x in kept if inside[x.container]])
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
