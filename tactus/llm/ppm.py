@@ -3,16 +3,21 @@
 A text's bytes (A-Z lower-cased), ended by a mark, are predicted from up to
 ``ORDER`` bytes before. Training counts every (context, byte) of every training
 text: each task counts its longest grams, Spark sums them, and the shorter
-orders are their sums. The trie keeps, in every order, the grams that make up
-at least 2**-GRAM_BITS of all bytes, a share and so the same rule at every
-size; no more than 2**GRAM_BITS grams of an order can, which bounds the model
-that is broadcast. A context that occurs T times, with q kept successors that
-take K of these, escapes to the next shorter one with probability
-(T - K + q) / (T + q) (method C, with what was not kept counted as escapes),
-and the successors of the longer context are excluded from the shorter one's
-counts. Since the successors of a context are also successors of its suffix,
-what exclusion leaves depends on the context alone and is computed with the
-model, and texts are scored with sorted arrays, all positions at once.
+orders are their sums. No gram is left out, however rare. A context that
+occurs T times with q different successors escapes to the next shorter one
+with probability q / (T + q) (method C), and the successors of the longer
+context are excluded from the shorter one's counts. Since the successors of a
+context are also successors of its suffix, what exclusion leaves depends on
+the context alone.
+
+The probability of a byte depends on its gram alone. Longest grams that make
+up at least 2**-GRAM_BITS of all bytes (no more than 2**GRAM_BITS can) are
+broadcast with theirs. What a text has of the others is stored beside its
+score and joined with a table that grows with the corpus: grams are dealt by
+the last LOCAL bytes of their context, which holds all orders from LOCAL up of
+a part of the trie together, and a task works through its parts one after
+another. A part has at most 256**(ORDER + 1 - LOCAL) grams and the orders
+below LOCAL, which every task gets, at most 256**LOCAL, at any size.
 
 The base is a unigram model of words. Words that make up at least
 2**-WORD_BITS of all tokens (no more than 2**WORD_BITS words) are broadcast;
@@ -20,7 +25,8 @@ the rarer words of each document are joined with their counts.
 
 Defined cases: a null text counts as empty: one token, the end; a null doc_id
 is learnt from and not held out; repeated rows are counted and scored each;
-with no training text, every count is 0 and every byte equally likely.
+with no training text, every count is 0 and every byte equally likely. A task
+holds some 40 times the bytes of one text, whatever its length.
 """
 
 from __future__ import annotations
@@ -34,15 +40,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import as_bytes, cut, written
+from tactus.llm.common import Scratch, as_bytes, cut
 
-ORDER, GRAM_BITS, WORD_BITS = 5, 21, 19
+ORDER, LOCAL, GRAM_BITS, WORD_BITS = 5, 3, 22, 19
 #: Marks the end of a text, and stands before its beginning; no byte of UTF-8.
 MARK = 0xFF
 CHUNK = 1 << 20
 #: Entries that a task counts before it hands them on.
 HELD = 1_500_000
 HELD_WORDS = 300_000
+#: Grams from which on a task works through the parts of the trie that it has read.
+PART = 1 << 19
 
 
 def remainder():
@@ -84,10 +92,17 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     counts = np.concatenate([p[1] for p in parts])
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
+    if not len(keys):
+        return keys, counts
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[first], np.add.reduceat(counts, first)
 
 
+def _shorter(keys: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of an order and their counts, from those of a longer one."""
+    return _summed([(keys & ((1 << (8 * (order + 1))) - 1), counts)])
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """Partial counts: of grams (k) and of words (w; the end is the empty word)."""
 
@@ -205,39 +220,109 @@ class Ppm:
         out[todo] -= self.rest
         return out
 
-    def scores(self, texts: list[bytes]) -> list[float]:
-        """log10 of the probability of each text (already lower-cased)."""
-        out: list[float] = []
-        for some in _chunks(texts):
-            keys, begins = grams(some)
-            out += np.add.reduceat(self.log_probabilities(keys), begins).tolist()
-        return out
-
-
-def train(partial: DataFrame) -> Ppm:
-    """The model of partial counts; at most 2 * (ORDER + 1) * 2**GRAM_BITS rows reach the driver."""
-    longest = cut(partial.where("k is not null").groupBy("k").agg(F.sum("n").alias("n")))
-    total = longest.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    whole = [F.struct(F.lit(o).alias("o"), F.col("k").bitwiseAND(F.lit((1 << (8 * (o + 1))) - 1)).alias("key")) for o in range(ORDER + 1)]
-    contexts = [F.struct(F.lit(-1 - o).alias("o"), F.shiftright("k", 8).bitwiseAND(F.lit((1 << (8 * o)) - 1)).alias("key")) for o in range(ORDER + 1)]
-    every = longest.select(F.explode(F.array(*whole, *contexts)).alias("g"), "n").groupBy("g.o", "g.key").agg(F.sum("n").alias("n"))
-    got = every.where(F.col("n") * (1 << GRAM_BITS) >= total).select(F.col("o").cast("int").alias("o"), "key", "n").toArrow()
-    orders, keys, counts = (got.column(c).to_numpy() for c in ("o", "key", "n"))
-
-    def of(o: int) -> tuple[np.ndarray, np.ndarray]:
-        own = np.flatnonzero(orders == o)
-        own = own[np.argsort(keys[own])]
-        return keys[own], counts[own].astype(np.float64)
-
-    return Ppm([(*of(o), *of(-1 - o)) for o in range(ORDER + 1)])
 
+def _whole(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order of a trie of which all grams are kept."""
+    return keys, counts, *_summed([(keys >> 8, counts)])
+
+
+def _frequent(longest: DataFrame, often) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted frequent longest grams and the log10 of their probabilities."""
+    contexts = longest.groupBy(F.shiftright("k", 8).alias("c")).agg((F.sum("n") + F.count(F.lit(1))).alias("t"))
+    grams = longest.where(often).withColumn("c", F.shiftright("k", 8)).join(contexts, "c")
+    got = grams.select("k", (F.log10("n") - F.log10("t")).alias("p")).toArrow()
+    keys, logs = (got.column(c).to_numpy() for c in ("k", "p"))
+    order = np.argsort(keys)
+    return keys[order], logs[order]
+
+
+def _whole_parts(batches, least: int):
+    """Columns but the first of sorted batches, put together so that rows equal in the first stay together."""
+    held, size, last = [], 0, None
+    for batch in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        part = rows[0]
+        if not len(part):
+            continue
+        ends = int(np.searchsorted(part, part[-1]))  # what follows may go on in the next batch
+        if size + ends >= least and (ends or part[0] != last) and size + ends:
+            yield [np.concatenate([*(h[c] for h in held), rows[c][:ends]]) for c in range(1, len(rows))]
+            held, size, rows = [], 0, [r[ends:] for r in rows]
+        held.append(rows)
+        size += len(rows[0])
+        last = part[-1]
+    if held:
+        yield [np.concatenate([h[c] for h in held]) for c in range(1, len(held[0]))]
+
+
+def _rare(longest: DataFrame, asked: DataFrame, often) -> DataFrame:
+    """k and p, its log10 probability: of every longest gram that is not frequent and every one asked for."""
+    spark = longest.sparkSession
+    mask = (1 << (8 * LOCAL)) - 1
+    got = longest.groupBy(F.col("k").bitwiseAND(F.lit(mask)).alias("k")).agg(F.sum("n").alias("n")).toArrow()
+    keys, counts = _summed([(got.column("k").to_numpy(), got.column("n").to_numpy().astype(np.float64))])
+    low = spark.sparkContext.broadcast([_whole(*_shorter(keys, counts, o)) for o in range(LOCAL)])
+
+    def scored(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> pa.RecordBatch:
+        seen = counts > 0
+        grams = keys[seen], counts[seen].astype(np.float64)
+        model = Ppm([*low.value, *(_whole(*_shorter(*grams, o)) for o in range(LOCAL, ORDER + 1))])
+        out = np.unique(keys[wanted])
+        return pa.RecordBatch.from_arrays([pa.array(out), pa.array(model.log_probabilities(out))], ["k", "p"])
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
+    def batches(it):
+        for keys, counts, wanted in _whole_parts(it, PART):
+            yield scored(keys, counts, wanted)
+
+    part = F.shiftright("k", 8).bitwiseAND(F.lit(mask)).alias("part")
+    model = longest.select(part, "k", "n", (~often).alias("wanted"))
+    every = model.union(asked.distinct().select(part, "k", F.lit(0).cast("bigint"), F.lit(True)))
+    return every.repartition("part").sortWithinPartitions("part").mapInArrow(batches, "k bigint, p double")
+
+
+def _per_text(keys: np.ndarray, texts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of each text, how often it has each, and how many distinct ones each text has."""
+    order = np.lexsort((keys, texts))
+    keys, texts = keys[order], texts[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])
+    first = np.flatnonzero(new)
+    return keys[first], np.diff(np.concatenate((first, [len(keys)]))), np.bincount(texts[first], minlength=size)
+
+
+def _looked_up(texts: list[bytes], known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, pa.Array]:
+    """Sum of the logs of each text's known grams, and its other grams (k) with how often it has them (n)."""
+    sums, keys, times, sizes = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+    for some in _chunks(texts):
+        grams_of, begins = grams(some)
+        at = _at(known[0], grams_of)
+        hit = at >= 0
+        logs = np.zeros(len(at))
+        logs[hit] = known[1][at[hit]]
+        sums.append(np.add.reduceat(logs, begins))
+        others = np.flatnonzero(~hit)
+        k, n, each = _per_text(grams_of[others], np.searchsorted(begins, others, "right") - 1, len(some))
+        keys.append(k)
+        times.append(n)
+        sizes.append(each)
+    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(times))], ["k", "n"])
+    return np.concatenate(sums), pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pairs)
+
+
+def score(docs: DataFrame, gram_bits: int = GRAM_BITS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document.
+
+    gram_bits decides which grams are looked up in a broadcast and which in a join; the scores are the same.
+    """
     spark = docs.sparkSession
-    partial = written(_counted(docs.where(remainder() != 1)), "counts")
-    model = spark.sparkContext.broadcast(train(partial))
+    scratch = Scratch(spark)
+    partial = scratch.keep(_counted(docs.where(remainder() != 1)), "counts")
+    longest = scratch.keep(partial.where("k is not null").groupBy("k").agg(F.sum("n").alias("n")), "grams")
+    total = longest.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    often = F.col("n") >= -(-total // (1 << gram_bits))
+    model = spark.sparkContext.broadcast(_frequent(longest, often))
     counts = cut(partial.where("w is not null").groupBy("w").agg(F.sum("n").alias("c")))
+    scratch.drop(partial)
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = sums.n, sums.v
     frequent = F.col("c") * (1 << WORD_BITS) >= n
@@ -248,7 +333,7 @@ def score(docs: DataFrame) -> DataFrame:
     divisor = math.log10(n + 0.5 * (v + 1))
 
     def batches(it):
-        ppm, logs, has = model.value, {w: math.log10(c + 0.5) for w, c in words.value.items()}, words.value
+        grams_known, logs, has = model.value, {w: math.log10(c + 0.5) for w, c in words.value.items()}, words.value
         end = (math.log10(has[b""] + 0.5), 1) if b"" in has else None
         for batch in it:
             texts = [(t or b"").lower() for t in as_bytes(batch.column(2))]
@@ -266,16 +351,23 @@ def score(docs: DataFrame) -> DataFrame:
                 base.append(math.fsum(found))
                 rare.append([{"w": w, "n": k} for w, k in others.items()])
             columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n_tokens, n_known)), pa.array(base, pa.float64())]
-            columns += [pa.array(ppm.scores(texts), pa.float64()), pa.array(rare, pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+            sums, others = _looked_up(texts, grams_known)
+            columns += [pa.array(sums), others, pa.array(rare, pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "grams", "rare"])
 
-    kinds = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<struct<w:binary,n:bigint>>"
+    kinds = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, grams array<struct<k:bigint,n:bigint>>, rare array<struct<w:binary,n:bigint>>"
     rows = docs.select("doc_id", (remainder() == 1).alias("held_out"), "text").mapInArrow(batches, kinds)
-    rows = written(rows.withColumn("r", F.monotonically_increasing_id()), "scores")
+    rows = scratch.keep(rows.withColumn("r", F.monotonically_increasing_id()), "scores")
+    apart = rows.select("r", "held_out", F.explode("grams").alias("x")).select("r", "held_out", "x.k", "x.n")
+    chances = scratch.keep(_rare(longest, apart.where("held_out").select("k"), often), "chances")
+    scratch.drop(longest)
+    nothing, zero = F.lit(0).cast("bigint"), F.lit(0.0)
+    gram_part = apart.join(chances, "k").select("r", nothing.alias("k"), zero.alias("b"), (F.col("n") * F.col("p")).alias("s"))
     each = rows.select("r", F.explode("rare").alias("x")).select("r", "x.w", "x.n").join(counts.where(~frequent), "w", "left")
     c = F.coalesce("c", F.lit(0))
-    others = each.groupBy("r").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(F.lit(0))).alias("k"), F.sum(F.col("n") * F.log10(c + 0.5)).alias("b"))
-    joined = rows.drop("rare").join(others, "r", "left")
+    word_part = each.select("r", F.when(c > 0, F.col("n")).otherwise(nothing).alias("k"), (F.col("n") * F.log10(c + 0.5)).alias("b"), zero.alias("s"))
+    others = gram_part.union(word_part).groupBy("r").agg(*(F.sum(x).alias(x) for x in "kbs"))
+    joined = rows.drop("rare", "grams").join(others.withColumnRenamed("s", "more"), "r", "left")
     return joined.select(
         "doc_id",
         "held_out",
@@ -283,5 +375,5 @@ def score(docs: DataFrame) -> DataFrame:
         (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", F.lit(0.0)) - F.col("n_tokens") * divisor).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )

@@ -212,6 +212,30 @@ def test_ppm(spark):
         assert r.score == pytest.approx(plain(t))
 
 
+def test_ppm_joins_what_is_not_broadcast(spark):
+    frame = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(None, "cat"), (10**9, None), (10**9 + 1, "q\u2603" * 2000)], DOCS))
+    keyed = lambda bits: {(r.doc_id, r.n_tokens): r for r in rows(ppm.score(frame, bits))}
+    joined, mixed, sent = (keyed(bits) for bits in (0, 12, 60))
+    assert len(joined) == len(mixed) == len(sent) == frame.count()
+    for k, r in joined.items():
+        assert r.score == pytest.approx(mixed[k].score) == pytest.approx(sent[k].score)
+        assert r.base_score == pytest.approx(sent[k].base_score)
+
+
+def test_ppm_parts_stay_whole():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    for least in (1, 4, 50, 10**6):
+        part = sorted(rng.choices(range(40), k=300))
+        cuts = [0, *sorted(rng.choices(range(301), k=30)), 300]
+        batches = [pa.RecordBatch.from_arrays([pa.array(part[a:b], pa.int64()), pa.array(part[a:b], pa.int64())], ["p", "k"]) for a, b in zip(cuts, cuts[1:])]
+        got = [x[0].tolist() for x in ppm._whole_parts(iter(batches), least)]
+        assert sum(got, []) == part and all(got)
+        assert len({p for g in got for p in set(g)}) == sum(len(set(g)) for g in got)
+        assert least == 10**6 or len(got) > 1
+
+
 def test_ppm_sums_to_one():
     texts = [b"abracadabra", b"abc", b"", b"bcd bcd"]
     keys = np.concatenate([ppm.grams([t])[0] for t in texts])
