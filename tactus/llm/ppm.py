@@ -25,8 +25,8 @@ the rarer words of each document are joined with their counts.
 
 Defined cases: a null text counts as empty: one token, the end; a null doc_id
 is learnt from and not held out; repeated rows are counted and scored each;
-with no training text, every count is 0 and every byte equally likely. A task
-holds some 40 times the bytes of one text, whatever its length.
+with no training text, every count is 0 and every byte equally likely. Texts
+of any length are worked through in pieces.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tactus.llm.common import Scratch, as_bytes, cut
 
-ORDER, LOCAL, GRAM_BITS, WORD_BITS = 5, 3, 22, 19
+ORDER, LOCAL, GRAM_BITS, WORD_BITS = 5, 3, 23, 19
 #: Marks the end of a text, and stands before its beginning; no byte of UTF-8.
 MARK = 0xFF
 CHUNK = 1 << 20
@@ -50,7 +50,9 @@ CHUNK = 1 << 20
 HELD = 1_500_000
 HELD_WORDS = 300_000
 #: Grams from which on a task works through the parts of the trie that it has read.
-PART = 1 << 19
+PART = 1 << 18
+#: Texts that are scored at once.
+ROWS = 512
 
 
 def remainder():
@@ -58,35 +60,43 @@ def remainder():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)), F.lit(0))
 
 
-def _chunks(texts: list[bytes]):
-    """Lists of texts of about CHUNK bytes."""
+def _pieces(texts: list[bytes]):
+    """Lists of about CHUNK bytes of texts: the number of the text, and a piece of it after the ORDER bytes before that."""
+    mark = bytes([MARK])
     some, size = [], 0
-    for t in texts:
-        some.append(t)
-        size += len(t)
-        if size >= CHUNK:
-            yield some
-            some, size = [], 0
+    for i, t in enumerate(texts):
+        t = mark * ORDER + t + mark
+        for at in range(0, len(t) - ORDER, CHUNK):
+            some.append((i, t[at : at + CHUNK + ORDER]))
+            size += len(some[-1][1])
+            if size >= CHUNK:
+                yield some
+                some, size = [], 0
     if some:
         yield some
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The gram of ORDER + 1 bytes that ends at each byte and end of the texts, and where each text's begin."""
-    mark = bytes([MARK])
-    data = np.frombuffer(b"".join([mark * ORDER + t + mark for t in texts]), np.uint8)
+def _keys(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of ORDER + 1 bytes that ends at each byte of the pieces but their first ORDER, and where each piece's begin."""
+    data = np.frombuffer(b"".join(pieces), np.uint8)
     keys = np.zeros(len(data), np.int64)
     for back in range(ORDER + 1):
         keys[back:] |= data[: len(data) - back].astype(np.int64) << (8 * back)
-    sizes = np.array([len(t) + 1 for t in texts])
+    sizes = np.array([len(p) - ORDER for p in pieces])
     begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     keep = np.ones(len(data), bool)
-    at = begins + ORDER * np.arange(len(texts))
+    at = begins + ORDER * np.arange(len(pieces))
     for j in range(ORDER):
         keep[at + j] = False
     return keys[keep], begins
 
 
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of ORDER + 1 bytes that ends at each byte and end of the texts, and where each text's begin."""
+    mark = bytes([MARK])
+    return _keys([mark * ORDER + t + mark for t in texts])
+
+
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([p[0] for p in parts])
     counts = np.concatenate([p[1] for p in parts])
@@ -114,7 +124,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
     def batches(it):
         parts, held, words = [], 0, Counter()
-        for batch in it:
+        for batch in (b.slice(at, ROWS) for b in it for at in range(0, b.num_rows, ROWS)):
             texts = [(t or b"").lower() for t in as_bytes(batch.column(0))]
             for t in texts:
                 words.update(t.split())
@@ -122,8 +132,8 @@ def _counted(docs: DataFrame) -> DataFrame:
                     yield rows("w", list(words), list(words.values()))
                     words = Counter()
             words[b""] += len(texts)
-            for some in _chunks(texts):
-                parts.append(np.unique(grams(some)[0], return_counts=True))
+            for some in _pieces(texts):
+                parts.append(np.unique(_keys([p for _, p in some])[0], return_counts=True))
                 held += len(parts[-1][0])
                 if held > HELD:
                     parts = [_summed(parts)]
@@ -280,33 +290,26 @@ def _rare(longest: DataFrame, asked: DataFrame, often) -> DataFrame:
     return every.repartition("part").sortWithinPartitions("part").mapInArrow(batches, "k bigint, p double")
 
 
-def _per_text(keys: np.ndarray, texts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of each text, how often it has each, and how many distinct ones each text has."""
-    order = np.lexsort((keys, texts))
-    keys, texts = keys[order], texts[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])
-    first = np.flatnonzero(new)
-    return keys[first], np.diff(np.concatenate((first, [len(keys)]))), np.bincount(texts[first], minlength=size)
-
-
 def _looked_up(texts: list[bytes], known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, pa.Array]:
-    """Sum of the logs of each text's known grams, and its other grams (k) with how often it has them (n)."""
-    sums, keys, times, sizes = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
-    for some in _chunks(texts):
-        grams_of, begins = grams(some)
-        at = _at(known[0], grams_of)
+    """Sum of the logs of each text's known grams, and its other grams (k) with how often it has them (n).
+
+    A gram and the number of its text, 15 bits at most, are sorted as one number.
+    """
+    sums, sizes, bits = np.zeros(len(texts)), np.zeros(len(texts) + 1, np.int64), 8 * (ORDER + 1)
+    keys, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for some in _pieces(texts):
+        all_grams, begins = _keys([p for _, p in some])
+        owners = np.array([i for i, _ in some], np.int64)
+        both, n = np.unique(all_grams | np.repeat(owners << bits, np.diff([*begins, len(all_grams)])), return_counts=True)
+        owner, key = both >> bits, both & ((1 << bits) - 1)
+        at = _at(known[0], key)
         hit = at >= 0
-        logs = np.zeros(len(at))
-        logs[hit] = known[1][at[hit]]
-        sums.append(np.add.reduceat(logs, begins))
-        others = np.flatnonzero(~hit)
-        k, n, each = _per_text(grams_of[others], np.searchsorted(begins, others, "right") - 1, len(some))
-        keys.append(k)
-        times.append(n)
-        sizes.append(each)
+        sums += np.bincount(owner[hit], known[1][at[hit]] * n[hit], len(texts))
+        sizes[1:] += np.bincount(owner[~hit], minlength=len(texts))
+        keys.append(key[~hit])
+        times.append(n[~hit])
     pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(times))], ["k", "n"])
-    return np.concatenate(sums), pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pairs)
+    return sums, pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pairs)
 
 
 def score(docs: DataFrame, gram_bits: int = GRAM_BITS) -> DataFrame:
@@ -335,7 +338,7 @@ def score(docs: DataFrame, gram_bits: int = GRAM_BITS) -> DataFrame:
     def batches(it):
         grams_known, logs, has = model.value, {w: math.log10(c + 0.5) for w, c in words.value.items()}, words.value
         end = (math.log10(has[b""] + 0.5), 1) if b"" in has else None
-        for batch in it:
+        for batch in (b.slice(at, ROWS) for b in it for at in range(0, b.num_rows, ROWS)):
             texts = [(t or b"").lower() for t in as_bytes(batch.column(2))]
             n_tokens, n_known, base, rare = [], [], [], []
             for t in texts:
