@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tactus.operators import line_pairs
+
 ANCHOR_FROM, CHORUS_FROM, CHORUS_LINES = 0.62, 0.78, 2
 
 
@@ -149,12 +151,14 @@ def match(official: DataFrame, transcript: DataFrame, window: int = 0) -> DataFr
         n, m = len(a), len(b)
         if not n:
             return pd.DataFrame(columns=[c.split()[0] for c in _MATCHED.split(", ")])
-        x, y = a["form"].tolist(), b["form"].tolist()
-        sims = np.array([[0.7 * edit_similarity(s, t) + 0.3 * bigram_dice(s, t) for t in y] for s in x]).reshape(n, m)
+        x, y = [s or "" for s in a["form"]], [s or "" for s in b["form"]]
+        grams = line_pairs.Grams(x + y)
+        alike = np.vstack([line_pairs.dice(c, grams.sizes[k : k + len(c)], grams.sizes) for k, c in grams.common()])[:n]
+        longer = np.maximum([[len(s)] for s in x], [[len(t) for t in y]]).reshape(n, m)
+        sims = 0.7 * (1 - line_pairs.edit_distances(x, y) / np.maximum(longer, 1)) + 0.3 * alike[:, n:]
         cost = 1 - sims
         to = cheapest_on_path(dtw(cost, window or max(8, int(m * 0.15))), cost) if m else [-1] * n
-        alike = np.array([[bigram_dice(s, t) >= CHORUS_FROM for t in x] for s in x])
-        chorus = {i for run in choruses(alike) for i in run}
+        chorus = {i for run in choruses(alike[:, :n] >= CHORUS_FROM) for i in run}
         start, end = b["start_ms"].tolist(), b["end_ms"].tolist()
         return pd.DataFrame(
             {
