@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tactus.adapters import LINES_SQL, TIMELINE_SQL, WORDS_SQL, doc_lines, doc_timeline, doc_words, table
 from tactus.functions import similarity as sim
 from tactus.functions import text as tx
-from tactus.operators import align, folds, joins, quality, relations, sequence
+from tactus.operators import align, folds, joins, line_pairs, quality, relations, sequence
 from tactus.plans import selection
 from tactus.sources import captions, cards
 from tactus.streaming import sync
@@ -282,9 +282,7 @@ def repeat_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("similar_diagonals")
 def similar_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repeat_diagonals as W08 has it: runs of two or more lines with bigram similarity 0.78 or more."""
-    lines = sequence.numbered_bigrams(_lines(spark, sf_dir)).withColumnRenamed("grams", "text")
-    # rounded: a quotient of exactly 0.78 counts
-    return sequence.repeated_diagonals(lines, lambda a, b: F.round(sequence.grams_dice(a, b), 9) >= 0.78, 2)
+    return line_pairs.similar_runs(_lines(spark, sf_dir), 0.78, 2)
 
 
 @query(

@@ -39,3 +39,11 @@ def test_match_of_long_lines(spark):
     began = time.time()
     assert [r.similarity for r in align.match(official, transcript).collect()] == [1.0] * 12
     assert time.time() - began < 15
+
+
+def test_similar_diagonals_exchange_lines_only(spark):
+    """Neither letter pairs nor pairs of lines are joined or exploded, and runs end at a song's gaps."""
+    assert "Join" not in (found := plan(queries.QUERIES["similar_diagonals"](spark, SF))) and found.count("Generate") == 1
+    some = [(1, k, t) for k, t in [(0, "abcd"), (1, "efgh"), (2, "abcd"), (3, "efgh"), (5, "abcd"), (6, "efgh")]]
+    lines = spark.createDataFrame(some, "song_id long, line_index int, text string")
+    assert sorted(map(tuple, line_pairs.similar_runs(lines, 0.78, 2).collect())) == [(1, 2, 0, 2), (1, 3, 2, 2), (1, 5, 0, 2)]
