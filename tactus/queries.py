@@ -383,8 +383,8 @@ def lev_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("song_bigram_dice")
 def song_bigram_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bigram_dice of all pairs of a song's lines, without the first letters that its SQL asks for."""
-    pairs = sequence.song_pairs(sequence.numbered_bigrams(_lines(spark, sf_dir)), "grams")
-    return pairs.select("song_id", "i", "j", F.round(sequence.grams_dice(F.col("a_grams"), F.col("b_grams")), 6).alias("similarity"))
+    pairs = line_pairs.gram_pairs(_lines(spark, sf_dir))
+    return pairs.select("song_id", "i", "j", F.round(line_pairs.dice_of(F.col("common"), F.col("total")), 6).alias("similarity"))
 
 
 @query("song_recall_sim")

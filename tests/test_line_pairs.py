@@ -47,3 +47,17 @@ def test_similar_diagonals_exchange_lines_only(spark):
     some = [(1, k, t) for k, t in [(0, "abcd"), (1, "efgh"), (2, "abcd"), (3, "efgh"), (5, "abcd"), (6, "efgh")]]
     lines = spark.createDataFrame(some, "song_id long, line_index int, text string")
     assert sorted(map(tuple, line_pairs.similar_runs(lines, 0.78, 2).collect())) == [(1, 2, 0, 2), (1, 3, 2, 2), (1, 5, 0, 2)]
+
+
+def test_song_bigram_dice_exchanges_lines_only(spark, monkeypatch):
+    """The pairs are made within a song's task; blocks and batches of any size give the same."""
+    assert "Join" not in (found := plan(queries.QUERIES["song_bigram_dice"](spark, SF))) and found.count("Generate") == 1
+    texts = some_texts()
+    want = {(i, j): align.bigram_dice(a, b) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j}
+    lines = spark.createDataFrame(list(enumerate(texts)), "line_index int, text string").withColumn("song_id", F.lit(7))
+    got = line_pairs.gram_pairs(lines).select("i", "j", line_pairs.dice_of(F.col("common"), F.col("total")).alias("d")).collect()
+    assert len(got) == len(want) and all(r.d == pytest.approx(want[r.i, r.j]) for r in got)
+    grams = line_pairs.Grams(texts)
+    whole = np.vstack([c for _, c in grams.common()])
+    monkeypatch.setattr(line_pairs, "CELLS", 300)
+    assert (np.vstack([c for _, c in grams.common()]) == whole).all()
