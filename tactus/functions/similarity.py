@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from operator import add
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def lev_sim(a: Column, b: Column) -> Column:
@@ -19,13 +24,18 @@ def bigrams(c: Column) -> Column:
     return F.when(size < 2, F.array().cast("array<string>")).otherwise(pairs)
 
 
+@F.pandas_udf(DoubleType())
+def _dice(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Built-in functions on arrays can count a kind of pair only by a pass over all pairs, quadratic in a line's length."""
+    kinds = lambda t: Counter(map(add, t, t[1:]))
+    found = [None if x is None or y is None or len(x) + len(y) < 3 else 2.0 * (kinds(x) & kinds(y)).total() / (len(x) + len(y) - 2) for x, y in zip(a, b, strict=True)]
+    return pd.Series(found, dtype=object)
+
+
 def bigram_sim(a: Column, b: Column) -> Column:
     """Dice on multisets of character pairs; equality below two letters; 0 if one is empty."""
-    x, y = bigrams(a), bigrams(b)
-    common = F.aggregate(F.array_distinct(x), F.lit(0), lambda acc, g: acc + F.least(F.size(F.filter(x, lambda v: v == g)), F.size(F.filter(y, lambda v: v == g))))
-    dice = 2.0 * common / (F.size(x) + F.size(y))
     short = (F.length(a) < 2) | (F.length(b) < 2)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).when(short, F.when(a == b, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(dice)
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).when(short, F.when(a == b, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(_dice(a, b))
 
 
 def composite(a: Column, b: Column, romaji_a: Column, romaji_b: Column, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> Column:

@@ -61,3 +61,13 @@ def test_song_bigram_dice_exchanges_lines_only(spark, monkeypatch):
     whole = np.vstack([c for _, c in grams.common()])
     monkeypatch.setattr(line_pairs, "CELLS", 300)
     assert (np.vstack([c for _, c in grams.common()]) == whole).all()
+
+
+def test_bigram_similarity_of_long_lines(spark):
+    """Linear in the lines' length: 40,000 letters of many kinds take seconds."""
+    draw = random.Random(6)
+    a, b = ("".join(chr(draw.randrange(0x4E00, 0x4F00)) for _ in range(40_000)) for _ in range(2))
+    began = time.time()
+    df = spark.createDataFrame([(a, b), (None, b), ("x", "x"), ("x", ""), ("ab", "ba")], "a string, b string")
+    got = [r.d for r in df.select(similarity.bigram_sim(F.col("a"), F.col("b")).alias("d")).collect()]
+    assert got == [align.bigram_dice(a, b), None, 1.0, 0.0, 0.0] and time.time() - began < 15
