@@ -376,8 +376,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("lev_sim")  # DuckDB counts bytes
 def lev_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a song's lines."""
-    pairs = sequence.song_pairs(_lines(spark, sf_dir), "text")
-    return pairs.select("song_id", "i", "j", F.round(sim.lev_sim(F.col("a_text"), F.col("b_text")), 6).alias("similarity"))
+    pairs = line_pairs.distance_pairs(_lines(spark, sf_dir))
+    return pairs.select("song_id", "i", "j", F.round(line_pairs.lev_sim_of(F.col("distance"), F.col("longer")), 6).alias("similarity"))
 
 
 @query("song_bigram_dice")

@@ -71,3 +71,18 @@ def test_bigram_similarity_of_long_lines(spark):
     df = spark.createDataFrame([(a, b), (None, b), ("x", "x"), ("x", ""), ("ab", "ba")], "a string, b string")
     got = [r.d for r in df.select(similarity.bigram_sim(F.col("a"), F.col("b")).alias("d")).collect()]
     assert got == [align.bigram_dice(a, b), None, 1.0, 0.0, 0.0] and time.time() - began < 15
+
+
+def test_edit_similarity_of_long_lines(spark, monkeypatch):
+    """All pairs of a song's lines; a dozen lines of 12,000 letters take seconds."""
+    texts = [*some_texts(30), None, None]
+    lines = spark.createDataFrame(list(enumerate(texts)), "line_index int, text string").withColumn("song_id", F.lit(7).cast("long"))
+    sim = F.round(line_pairs.lev_sim_of(F.col("distance"), F.col("longer")), 6)
+    got = {(r.i, r.j): r.s for r in line_pairs.distance_pairs(lines).select("i", "j", sim.alias("s")).collect()}
+    plain = lambda a, b: None if a is None or b is None else round(align.edit_similarity(a, b), 6)
+    assert got == {(i, j): plain(a, b) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j}
+    draw = random.Random(8)
+    long = [(1, k, "".join(draw.choice("abcdefgh") for _ in range(12_000))) for k in range(12)]
+    began = time.time()
+    assert line_pairs.distance_pairs(spark.createDataFrame(long, "song_id long, line_index int, text string")).count() == 66
+    assert time.time() - began < 25
