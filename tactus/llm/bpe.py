@@ -13,7 +13,8 @@ end-of-word mark.
 
 Texts are divided, as the tokenizer file prescribes, into special tokens,
 normalised (NFC, white space, lower case) and split into words. Every step is
-narrow: no shuffle, and memory is bounded by the batch and by CACHE entries.
+narrow: no shuffle, and memory is bounded by the batch and by CACHE entries,
+and the caches last as long as a task.
 
 Defined cases: a null text counts as empty and has no tokens; other columns
 are untouched, and a document column named like a result column is replaced.
@@ -201,6 +202,11 @@ class WordBpe:
                 out.append((b" ".join([f[0] for f in found if f[0]]), b" ".join([f[1] for f in found if f[1]])))
         return out
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.spelled, self.pieces, self.known_pairs = {}, {}, 0
+        self.follows = [{} for _ in self.follows]
+
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join([self.tokens[i] for i in ids])
 
@@ -229,6 +235,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", digests: bool = False
 
     def batches(it):
         bpe = model(path)
+        try:
+            yield from encoded(bpe, it)
+        finally:
+            bpe.forget()  # an idle worker lives on while other steps need the memory
+
+    def encoded(bpe, it):
         for batch in it:
             n, a, b = [], [], []
             for ids, decoded in bpe.encode_batch(as_bytes(batch.column(at))):
