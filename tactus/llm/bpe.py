@@ -13,8 +13,7 @@ end-of-word mark.
 
 Texts are divided, as the tokenizer file prescribes, into special tokens,
 normalised (NFC, white space, lower case) and split into words. Every step is
-narrow: no shuffle, and memory is bounded by the batch and by CACHE entries,
-and the caches last as long as a task.
+narrow: no shuffle, and memory is bounded by the batch and by CACHE entries.
 
 Defined cases: a null text counts as empty and has no tokens; other columns
 are untouched, and a document column named like a result column is replaced.
@@ -221,11 +220,12 @@ def model(path: str) -> WordBpe:
     return _models[path]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", digests: bool = False, forget: bool = False) -> DataFrame:
     """docs with ``n_tokens`` and, either ``ids`` (array<int>) and ``decoded``, or their SHA-256 digests.
 
     path is the tokenizer file's place on every machine (a path of an
-    installed package); it is never copied.
+    installed package); it is never copied. With forget, the caches last as
+    long as a task: less memory beside later steps, more time on small tasks.
     """
     results = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
     kinds = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens bigint, ids array<int>, decoded string"
@@ -238,7 +238,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", digests: bool = False
         try:
             yield from encoded(bpe, it)
         finally:
-            bpe.forget()  # an idle worker lives on while other steps need the memory
+            if forget:
+                bpe.forget()
 
     def encoded(bpe, it):
         for batch in it:
