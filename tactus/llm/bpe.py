@@ -13,7 +13,8 @@ end-of-word mark.
 
 Texts are divided, as the tokenizer file prescribes, into special tokens,
 normalised (NFC, white space, lower case) and split into words. Every step is
-narrow: no shuffle, and memory is bounded by the batch and by CACHE entries.
+narrow: no shuffle, and memory is bounded by the batch as it arrives, by the
+words and results of PART bytes of its texts, and by CACHE entries.
 
 Defined cases: a null text counts as empty and has no tokens; other columns
 are untouched, and a document column named like a result column is replaced.
@@ -24,9 +25,10 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -34,6 +36,8 @@ from tactus.llm.common import as_bytes
 
 #: Entries of each of a worker's caches (divided words, pairs); a full cache is emptied.
 CACHE = 150_000
+#: Bytes of text that are divided into words at once; a longer text is a part of its own.
+PART = 1 << 22
 
 
 def _byte_letters() -> list[str]:
@@ -187,20 +191,23 @@ class WordBpe:
         """(ids joined by spaces, decoded text) of each text."""
         divided = [t.split() if t else [] for t in texts]
         pieces = self.pieces
+        new = set().union(*divided) - pieces.keys()
+        if new:
+            if len(pieces) + len(new) > 3 * CACHE:
+                pieces.clear()
+                new = set().union(*divided)
+            self.learn(list(new))
         out = []
-        for k in range(0, len(divided), 1000):
-            some = divided[k : k + 1000]
-            new = set().union(*some) - pieces.keys()
-            if new:
-                if len(pieces) + len(new) > 3 * CACHE:
-                    pieces.clear()
-                    new = set().union(*some)
-                self.learn(list(new))
-            for chunks in some:
-                found = [pieces[c] for c in chunks]
-                out.append((b" ".join([f[0] for f in found if f[0]]), b" ".join([f[1] for f in found if f[1]])))
+        for chunks in divided:
+            found = [pieces[c] for c in chunks]
+            out.append((b" ".join([f[0] for f in found if f[0]]), b" ".join([f[1] for f in found if f[1]])))
         return out
 
+    def encode_column(self, column: pa.Array) -> Iterator[tuple[bytes, bytes]]:
+        """encode_batch of a column of texts, with the words of one part at a time."""
+        for first, n in parts(column):
+            yield from self.encode_batch(as_bytes(column.slice(first, n)))
+
     def forget(self) -> None:
         """Empties the caches."""
         self.spelled, self.pieces, self.known_pairs = {}, {}, 0
@@ -210,6 +217,18 @@ class WordBpe:
         return " ".join([self.tokens[i] for i in ids])
 
 
+def parts(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, n) of runs of texts of PART bytes at most, or of one text."""
+    first, held = 0, 0
+    for k, size in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if k > first and held + size > PART:
+            yield first, k - first
+            first, held = k, 0
+        held += size
+    if len(column) > first:
+        yield first, len(column) - first
+
+
 _models: dict[str, WordBpe] = {}
 
 
@@ -244,7 +263,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", digests: bool = False
     def encoded(bpe, it):
         for batch in it:
             n, a, b = [], [], []
-            for ids, decoded in bpe.encode_batch(as_bytes(batch.column(at))):
+            for ids, decoded in bpe.encode_column(batch.column(at)):
                 n.append(ids.count(b" ") + 1 if ids else 0)
                 if digests:
                     a.append(hashlib.sha256(ids).hexdigest())

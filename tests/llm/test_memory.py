@@ -1,6 +1,7 @@
 """What operators keep or send besides their results."""
 
 import public_tokenizers
+import pyarrow as pa
 
 from tactus.llm import bpe, quality
 
@@ -22,3 +23,16 @@ def test_quality_sends_a_text_once(spark, monkeypatch):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert [tuple(r)[:2] + tuple(r)[3:] for r in quality.clean(docs, labels).collect()] == [(1, "x", 5)]
     assert quality.clean(docs, labels).columns == docs.columns and sent[0].count("text:string") == 1
+
+
+def test_bpe_divides_a_part_of_a_batch_at_a_time(monkeypatch):
+    """The words and results of a whole batch are never held together; nulls and long texts keep their rows."""
+    monkeypatch.setattr(bpe, "PART", 30)
+    texts = [b"some words", None, b"one text that is longer than a part by itself", b"", b"others, too", b"some words"] * 3
+    model, seen = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json")), []
+    whole = model.encode_batch(texts)
+    divide = model.encode_batch
+    monkeypatch.setattr(model, "encode_batch", lambda some: seen.append(sum(len(t or b"") for t in some)) or divide(some))
+    for kind in (pa.string(), pa.large_string()):
+        assert list(model.encode_column(pa.array([t and t.decode() for t in texts], kind))) == whole
+    assert len(seen) > 6 and max(seen) == len(texts[2]) and list(model.encode_column(pa.array([], pa.string()))) == []
