@@ -73,3 +73,36 @@ def test_repeats_of_short_lines(spark):
     odd = frame.select("*", *[F.lit("x").alias(c) for c in ("_d", "_v", "_t", "n_lines")])
     cleaned = lines.clean(odd, short=True)
     assert {r.doc_id: r.text for r in cleaned.collect()} == {1: some[0][1], 2: "Chapter 2\n\n", 4: None} and cleaned.columns == odd.columns
+
+
+def test_common_word_pairs_bring_few_lines_together(spark):
+    """Unrelated lines that share common word pairs meet in few bands; near copies, and lines of common pairs only, still meet."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghijklmnoprstuvw") for _ in range(draw.randint(4, 8)))
+    usual = ["of the", "to the", "in a"]
+    texts = [" ".join(draw.choice(usual) if draw.random() < 0.6 else word() for _ in range(16)) for _ in range(400)]
+    texts += [" ".join([*t.split()[:-1], "other"]) for t in texts[:20]] + ["of the of the to the to the", "to the of the of the to the"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "h long, norm string")
+    signed = [tuple(r)[2:] for r in lines._signed(frame, lines._common(frame)).orderBy("h").collect()]
+    plain = [tuple(r)[2:] for r in lines._signed(frame, lines._common(frame).limit(0)).orderBy("h").collect()]
+    meet = lambda a, b: any(all(a[m] == b[m] for m in picks) for picks in lines._PICKS)
+    met = lambda of: sum(meet(of[a], of[b]) for a in range(400) for b in range(a))
+    assert 5 * met(signed) < met(plain)
+    assert sum(meet(signed[k], signed[400 + k]) for k in range(20)) >= 19 and meet(signed[420], signed[421])
+
+
+def test_lines_are_apart_only_when_whole_lines_are(spark):
+    """What beginnings and ends show never contradicts the edit distance of whole lines."""
+    draw = random.Random(8)
+    some = []
+    for _ in range(400):
+        a = "".join(draw.choice("abcd é漢") for _ in range(draw.randint(1, 60)))
+        b = list(a)
+        for _ in range(draw.randint(0, 1 + len(a) // 3)):
+            at = draw.randrange(len(b) + 1)
+            b[at : at + draw.randint(0, 3)] = draw.choice(["", "x", "ab", "dda"])
+        some.append((a, "".join(b)))
+    frame = spark.createDataFrame(some, "x string, y string")
+    whole = F.levenshtein("x", "y") <= F.floor(F.greatest(F.length("x"), F.length("y")) * (100 - lines.PERCENT) / 100)
+    got = frame.select(whole.alias("want"), *[lines._similar(F.col("x"), F.col("y"), likely=k).alias(f"k{k}") for k in (True, False)]).collect()
+    assert [(r.want, r.want) for r in got] == [(r.kTrue, r.kFalse) for r in got] and 50 < sum(r.want for r in got) < 350
