@@ -106,3 +106,35 @@ def test_lines_are_apart_only_when_whole_lines_are(spark):
     whole = F.levenshtein("x", "y") <= F.floor(F.greatest(F.length("x"), F.length("y")) * (100 - lines.PERCENT) / 100)
     got = frame.select(whole.alias("want"), *[lines._similar(F.col("x"), F.col("y"), likely=k).alias(f"k{k}") for k in (True, False)]).collect()
     assert [(r.want, r.want) for r in got] == [(r.kTrue, r.kFalse) for r in got] and 50 < sum(r.want for r in got) < 350
+
+
+def test_lines_are_stored_in_rounds(spark, monkeypatch):
+    """No step collapses, signs or deals all lines at once; each part of the lines is deleted when it is collapsed."""
+    from pathlib import Path
+
+    from tactus.llm.common import Scratch
+
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefghijklmnoprstuvw") for _ in range(draw.randint(3, 7)))
+    texts = [" ".join(word() for _ in range(12)) for _ in range(300)]
+    frame = spark.createDataFrame([(k, f"{t}\n{t.upper()}!\n{t[:-3]}") for k, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    sizes, left, keep = {}, [], Scratch.keep
+
+    def noted(self, df, name, *args, **more):
+        out = keep(self, df, name, *args, **more)
+        sizes.setdefault(name, []).append(out.count())
+        if name == "lines":
+            self.first = out.stored_at
+        if name == "distinct":
+            left.append(len(list(Path(self.first).glob("*/*.parquet"))))
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", noted)
+    gone = lines.removed_lines(frame)
+    assert {r.doc_id: tuple(r.removed) for r in gone.collect()} == {k: (1, 2) for k in range(300)}
+    for name in ("distinct", "signatures"):
+        assert sum(sizes[name]) == 600 and max(sizes[name]) < 200
+    assert max(sizes["buckets"]) < sum(sizes["buckets"]) / 4
+    assert left == sorted(left, reverse=True) and left[-1] < left[0] / 3
+    folder = Path(gone.stored_at).parent
+    assert not [x for name in sizes if name != "gone" for x in folder.glob(f"{name}-*/**/*.parquet")]
