@@ -138,3 +138,30 @@ def test_lines_are_stored_in_rounds(spark, monkeypatch):
     assert left == sorted(left, reverse=True) and left[-1] < left[0] / 3
     folder = Path(gone.stored_at).parent
     assert not [x for name in sizes if name != "gone" for x in folder.glob(f"{name}-*/**/*.parquet")]
+
+
+def test_anchors_bound_the_distance_of_lines(spark):
+    """Pieces between anchors give no less than the distance, and nearly that, where text is put in, left out or repeated."""
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choice("abcdefgé漢") for _ in range(draw.randint(2, 7)))
+    some = []
+    for k in range(60):
+        words = [word() for _ in range(draw.choice([4, 40, 300]))]
+        if k % 3 == 0:
+            words[1:1] = ["la"] * 60
+        other = list(words)
+        for _ in range(len(words) // 30):
+            at = draw.randrange(len(other) + 1)
+            other[at : at + draw.randint(0, 2)] = draw.choice([[], [word()], [word(), word()]])
+        if k % 2:
+            other[2:2] = [word() for _ in range(len(words) // 30)]
+        if k % 5 == 0:
+            other = [word() for _ in other]
+        some.append((k, " ".join(words), " ".join(other)))
+    frame = spark.createDataFrame(some, "k long, x string, y string").repartition(2)
+    longer = F.greatest(F.length("x"), F.length("y"))
+    most = F.floor(longer * (100 - lines.PERCENT) / 100).cast("int")
+    got = frame.select("k", F.levenshtein("x", "y").alias("whole"), most.alias("most"), lines._anchored(F.col("x"), F.col("y"), most).alias("bound")).collect()
+    assert all(r.bound >= min(r.whole, r.most + 1) for r in got)
+    near = [r for r in got if r.k % 5 and r.whole <= r.most / 2]
+    assert len(near) > 35 and 10 * sum(r.bound <= r.most for r in near) >= 9 * len(near)
