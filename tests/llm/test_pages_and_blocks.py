@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tactus.llm import html_text, lines, neardup
+from tactus.llm import html_text, lines, linking, neardup
 
 DOCS = "doc_id long, text string"
 
@@ -165,3 +165,41 @@ def test_anchors_bound_the_distance_of_lines(spark):
     assert all(r.bound >= min(r.whole, r.most + 1) for r in got)
     near = [r for r in got if r.k % 5 and r.whole <= r.most / 2]
     assert len(near) > 35 and 10 * sum(r.bound <= r.most for r in near) >= 9 * len(near)
+
+
+def test_runs_of_words_bound_the_distance_of_lines(spark):
+    """Lines of long runs, of which some are put in, left out or replaced, are told apart from others without comparing them whole."""
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefgé") for _ in range(draw.randint(2, 7)))
+    some = []
+    for k in range(60):
+        runs = [(word(), draw.choice([1, 1, 20, 40])) for _ in range(draw.randint(8, 16))] if k % 4 else [(word(), 1) for _ in range(4)]
+        other = list(runs)
+        at = draw.randrange(len(runs))
+        other[at : at + draw.randint(0, 1)] = draw.choice([[], [(word(), other[at][1])], [(word(), 1), other[at]]])
+        if k % 5 == 0:
+            other = [(word(), n) for _, n in runs]
+        some.append((k, *[" ".join(w for w, n in x for _ in range(n)) for x in (runs, other)]))
+    frame = spark.createDataFrame(some, "k long, x string, y string").repartition(2)
+    most = F.floor(F.greatest(F.length("x"), F.length("y")) * (100 - lines.PERCENT) / 100).cast("int")
+    m = lines._middles(F.col("x"), F.col("y"))
+    got = frame.select("k", F.levenshtein("x", "y").alias("whole"), most.alias("most"), lines._worded(F.col("x"), F.col("y"), most).alias("bound"), F.levenshtein(m["x"], m["y"]).alias("middles"), F.length(m["x"]).alias("left"), F.length("x").alias("all")).collect()
+    assert all(r.bound >= min(r.whole, r.most + 1) and r.middles == r.whole for r in got)
+    near = [r for r in got if r.k % 5 and r.whole <= r.most / 2]
+    assert len(near) > 20 and 10 * sum(r.bound <= r.most for r in near) >= 9 * len(near)
+    assert 2 * sum(r.left for r in near) < sum(r.all for r in near)
+
+
+def test_blocks_name_the_largest_component(spark):
+    """So that two lines outside it can be compared once, not from either side."""
+    source = spark.createDataFrame([(1, k, 10, c) for k, c in ((1, 1), (2, 1), (3, 1), (4, 4), (5, 5))] + [(2, 6, 10, 6), (2, 7, 10, 6)], "k long, id long, size int, c long")
+    got = linking.blocks(source, 1 << 17).collect()
+    assert {(r.k, r.major) for r in got} == {(1, 1)} and {r.id for r in got if r.minor} == {4, 5} and len(got) == 7
+
+
+def test_scripts_without_spaces_begin_at_thai(spark):
+    below = spark.range(0x80, 0xE00).select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("letter"))
+    assert below.where(F.col("letter").rlike(lines.UNSPACED)).count() == 0
+    letters = spark.createDataFrame([(c,) for c in "ก漢ひカກកက々𠀀"], "letter string")
+    seen = letters.where(F.col("letter").rlike(lines.UNSPACED))
+    assert seen.count() == 9 and seen.where(F.col("letter").rlike(lines.FROM_THAI)).count() == 9
