@@ -382,7 +382,7 @@ def lev_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("song_bigram_dice")
 def song_bigram_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bigram_dice of all pairs of a song's lines, without the first letters that its SQL asks for."""
+    """bigram_dice of all pairs of a song's lines."""
     pairs = line_pairs.gram_pairs(_lines(spark, sf_dir))
     return pairs.select("song_id", "i", "j", F.round(line_pairs.dice_of(F.col("common"), F.col("total")), 6).alias("similarity"))
 
@@ -400,14 +400,21 @@ def song_recall_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BIGRAMS = "list_transform(range(1, length({0})::BIGINT), lambda i: substr({0}, i, 2))"
 
 
-@query(
-    "bigram_dice",
-    f"""{PAIRS_SQL}, g AS (SELECT song_id, line_index, item_id, {_BIGRAMS.format("a")} AS x, {_BIGRAMS.format("b")} AS y FROM pairs)
-SELECT song_id, line_index, item_id, round(2.0::DOUBLE * list_sum(list_transform(list_distinct(x),
-  lambda v: least(len(list_filter(x, lambda w: w = v)), len(list_filter(y, lambda w: w = v))))) / (len(x) + len(y)), 6) AS similarity FROM g""",
-)
+#: All lines of documents and all of the benchmark; letter pairs are counted once a text and meet by joins.
+DICE_SQL = f"""WITH {LINES_SQL}, bench AS (SELECT item_id, unnest(string_split(text, chr(10))) AS text FROM benchmark),
+x AS (SELECT text, g, count(*) AS n FROM (SELECT text, unnest({_BIGRAMS.format("text")}) AS g FROM (SELECT DISTINCT text FROM doc_lines)) GROUP BY text, g),
+y AS (SELECT text, g, count(*) AS n FROM (SELECT text, unnest({_BIGRAMS.format("text")}) AS g FROM (SELECT DISTINCT text FROM bench)) GROUP BY text, g),
+met AS (SELECT x.text AS a, y.text AS b, sum(least(x.n, y.n)) AS n FROM x JOIN y ON x.g = y.g GROUP BY x.text, y.text)
+SELECT song_id, line_index, item_id, CASE WHEN l.text = '' OR b.text = '' THEN 0.0::DOUBLE WHEN length(l.text) < 2 OR length(b.text) < 2 THEN (l.text = b.text)::INT::DOUBLE
+  ELSE round(2.0::DOUBLE * coalesce(met.n, 0) / (length(l.text) + length(b.text) - 2), 6) END AS similarity
+FROM doc_lines l CROSS JOIN bench b LEFT JOIN met ON met.a = l.text AND met.b = b.text"""
+
+
+@query("bigram_dice", DICE_SQL)
 def bigram_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("song_id", "line_index", "item_id", F.round(sim.bigram_sim(F.col("a"), F.col("b")), 6).alias("similarity"))
+    """Every line of the documents with every line of the benchmark."""
+    others = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "\n", -1)).alias("text"))
+    return line_pairs.dice_with(_lines(spark, sf_dir), others, "item_id")
 
 
 @query(

@@ -3,6 +3,7 @@
 import random
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,34 @@ def test_edit_similarity_of_long_lines(spark, monkeypatch):
     began = time.time()
     assert line_pairs.distance_pairs(spark.createDataFrame(long, "song_id long, line_index int, text string")).count() == 66
     assert time.time() - began < 25
+
+
+def test_bigram_dice_of_all_lines(spark, tmp_path, monkeypatch):
+    """Every line of the documents meets every line of the benchmark, whatever its first letters and length, as in its SQL; blocks of any size give the same."""
+    texts, bench = some_texts(30), some_texts(20, seed=3)
+    docs = [(k, "\n".join(texts[3 * k : 3 * k + 3])) for k in range(10)] + [(10, None), (11, ""), (12, "x" + bench[4])]
+    items = [(k, "\n".join(bench[2 * k : 2 * k + 2])) for k in range(10)] + [(10, None), (11, "a")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    lines = [(d, i, x) for d, t in docs if t is not None for i, x in enumerate(t.split("\n"))]
+    want = sorted((d, i, b, align.bigram_dice(x, y)) for d, i, x in lines for b, t in items if t is not None for y in t.split("\n"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet/*.parquet'")
+
+    def found():
+        return sorted(map(tuple, queries.QUERIES["bigram_dice"](spark, str(tmp_path)).collect()))
+
+    got = found()
+    assert got == sorted(con.execute(queries.SQL["bigram_dice"]).fetchall())
+    assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=1e-6)
+    monkeypatch.setattr(line_pairs, "BLOCK_BYTES", 200)
+    assert found() == got
+    monkeypatch.setattr(line_pairs, "CELLS", 300)
+    groups = list(line_pairs._grouped(list(enumerate(bench))))
+    assert len(groups) > 2 and [k for keys, _ in groups for k in keys] == list(range(20))
+    assert (np.hstack([g.dice(texts) for _, g in groups]) == line_pairs.Others(bench).dice(texts)).all()
+
+
+def test_bigram_dice_exchanges_nothing(spark):
+    assert "Join" not in (found := plan(queries.QUERIES["bigram_dice"](spark, SF))) and "Exchange" not in found
