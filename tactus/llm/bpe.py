@@ -38,6 +38,8 @@ from tactus.llm.common import as_bytes
 CACHE = 150_000
 #: Bytes of text that are divided into words at once; a longer text is a part of its own.
 PART = 1 << 22
+#: With forget, caches and parts are smaller by this factor.
+LEAN = 3
 
 
 def _byte_letters() -> list[str]:
@@ -84,6 +86,7 @@ class WordBpe:
         self.known_pairs = 0
         self.spelled: dict[str, tuple[bytes, bytes]] = {}
         self.pieces: dict[bytes, tuple[bytes, bytes]] = {}
+        self.lean = 1
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether merging the symbols of a and b, side by side, gives a and b.
@@ -140,7 +143,7 @@ class WordBpe:
             ids.reverse()
             out[word] = ids
             before = word
-        if self.known_pairs > 4 * CACHE:
+        if self.known_pairs > 4 * CACHE // self.lean:
             self.follows = [{} for _ in self.follows]
             self.known_pairs = 0
         return out
@@ -170,7 +173,7 @@ class WordBpe:
                 divided.append(self.words(text))
         spelled = self.spelled
         new = {w for words in divided for w in words if isinstance(w, str)} - spelled.keys()
-        if len(spelled) + len(new) > 2 * CACHE:
+        if len(spelled) + len(new) > 2 * CACHE // self.lean:
             spelled.clear()
             new = {w for words in divided for w in words if isinstance(w, str)}
         coded = {w: w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters) for w in new}
@@ -193,7 +196,7 @@ class WordBpe:
         pieces = self.pieces
         new = set().union(*divided) - pieces.keys()
         if new:
-            if len(pieces) + len(new) > 3 * CACHE:
+            if len(pieces) + len(new) > 3 * CACHE // self.lean:
                 pieces.clear()
                 new = set().union(*divided)
             self.learn(list(new))
@@ -205,7 +208,7 @@ class WordBpe:
 
     def encode_column(self, column: pa.Array) -> Iterator[tuple[bytes, bytes]]:
         """encode_batch of a column of texts, with the words of one part at a time."""
-        for first, n in parts(column):
+        for first, n in parts(column, PART // self.lean):
             yield from self.encode_batch(as_bytes(column.slice(first, n)))
 
     def forget(self) -> None:
@@ -217,11 +220,11 @@ class WordBpe:
         return " ".join([self.tokens[i] for i in ids])
 
 
-def parts(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """(first, n) of runs of texts of PART bytes at most, or of one text."""
+def parts(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first, n) of runs of texts of most bytes together, or of one text."""
     first, held = 0, 0
     for k, size in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
-        if k > first and held + size > PART:
+        if k > first and held + size > most:
             yield first, k - first
             first, held = k, 0
         held += size
@@ -244,7 +247,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", digests: bool = False
 
     path is the tokenizer file's place on every machine (a path of an
     installed package); it is never copied. With forget, the caches last as
-    long as a task: less memory beside later steps, more time on small tasks.
+    long as a task and are smaller: less memory beside other steps, more time.
     """
     results = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
     kinds = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens bigint, ids array<int>, decoded string"
@@ -254,6 +257,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", digests: bool = False
 
     def batches(it):
         bpe = model(path)
+        bpe.lean = LEAN if forget else 1
         try:
             yield from encoded(bpe, it)
         finally:

@@ -36,3 +36,17 @@ def test_bpe_divides_a_part_of_a_batch_at_a_time(monkeypatch):
     for kind in (pa.string(), pa.large_string()):
         assert list(model.encode_column(pa.array([t and t.decode() for t in texts], kind))) == whole
     assert len(seen) > 6 and max(seen) == len(texts[2]) and list(model.encode_column(pa.array([], pa.string()))) == []
+
+
+def test_bpe_that_forgets_holds_a_part_of_the_caches(monkeypatch):
+    """Beside other steps the caches and parts are smaller, and the results are the same."""
+    monkeypatch.setattr(bpe, "CACHE", 40)
+    monkeypatch.setattr(bpe, "PART", 300)
+    texts = pa.array([f"a{k} b{k} c{k}" for k in range(200)])
+    model, most = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json")), {}
+    for model.lean in (1, bpe.LEAN):
+        model.forget()
+        learn, held = bpe.WordBpe.learn, []
+        monkeypatch.setattr(model, "learn", lambda chunks: learn(model, chunks) or held.append(len(model.pieces)))
+        most[model.lean] = list(model.encode_column(texts)), max(held)
+    assert most[1][0] == most[bpe.LEAN][0] and most[bpe.LEAN][1] <= 3 * bpe.CACHE // bpe.LEAN < most[1][1]
